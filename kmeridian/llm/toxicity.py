@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, label: str =
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([kept.astype("<u4").tobytes()]), pa.array([w[kept].astype("<f8").tobytes()])], ["slot", "weight"])
 
-    row = sample.mapInArrow(slots, "k long, y int, at binary").coalesce(1).mapInArrow(train, "slot binary, weight binary").first()
+    row = sample.mapInArrow(slots, "k long, y int, at binary").repartition(1).mapInArrow(train, "slot binary, weight binary").first()
     return (np.frombuffer(row["slot"], "<u4"), np.frombuffer(row["weight"], "<f8")) if row else (np.zeros(0, "<u4"), np.zeros(0))
 
 
