@@ -19,6 +19,7 @@ from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ class Codec:
         for token in ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, most=1_000_000, longest=2)
+        self.beside = Memo(self._beside, most=200_000, longest=2)
         self.shorter = Memo(self._shorter, most=100_000, longest=1 << 20)
         self.encoded = Memo(self._encode_str)
         join = b"".join
@@ -117,7 +118,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: s
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         codec = _codec(ranks.value, pattern)
-        return pd.Series([memoryview(codec.encode(t)).cast("I").tolist() if t else [] for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(codec.encode(t) if t else b"", "<i4") for t in texts], dtype=object)
 
     return docs.withColumn(into, ids(F.col(text)))
 

@@ -40,7 +40,7 @@ from kmeridian.session import saved, ship, shuffle_width
 WORDS, PERCENT = 5, 80
 TILE = 2000
 _BATCH = 30_000  # documents numbered by 16 bits
-_hashed = Memo(xxhash.xxh3_64_intdigest, most=1_000_000)
+_hashed = Memo(xxhash.xxh3_64_intdigest, most=300_000)
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:

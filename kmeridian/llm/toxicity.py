@@ -40,7 +40,7 @@ def _hash(word: bytes) -> int:
     return h
 
 
-_hashed = Memo(_hash, most=1_000_000)
+_hashed = Memo(_hash, most=300_000)
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
