@@ -203,7 +203,8 @@ def listed(candidates: DataFrame, weights: dict[tuple[str, int], float]) -> Data
     """One row per document: counts and hash of the base spans, and all spans."""
     base, both = reported(weights)
     rows = candidates.withColumns({"_base": base, "_all": both})
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    of_kind = lambda k: F.filter("_base", lambda s: s["rank"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_all")).alias("spans"))
 
 
