@@ -70,7 +70,7 @@ def _merge_long(start: list[bytes], get: Callable, of_pairs: bool) -> list[bytes
 class Memo(dict):
     """A dict that computes missing values and forgets everything when it holds `most` short keys."""
 
-    def __init__(self, make: Callable, most: int = 200_000, longest: int = 48, always: dict | None = None):
+    def __init__(self, make: Callable, most: int = 400_000, longest: int = 48, always: dict | None = None):
         super().__init__(always or {})
         self.make, self.most, self.longest, self.always = make, most + len(self), longest, always or {}
 

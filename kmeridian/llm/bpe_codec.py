@@ -45,7 +45,7 @@ class Codec:
         for token in ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, most=200_000, longest=2)
+        self.beside = Memo(self._beside, most=400_000, longest=2)
         self.shorter = Memo(self._shorter, most=100_000, longest=1 << 20)
         self.encoded = Memo(self._encode_str)
         join = b"".join
