@@ -55,7 +55,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
 
 
 class Ftrl:
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5):
+    def __init__(self, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -71,7 +71,7 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights learned from labelled rows outside the fold; at most about max_rows of them are read."""
     ship(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
