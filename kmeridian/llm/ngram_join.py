@@ -88,10 +88,12 @@ def _send(buckets: int, k: int):
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
                 sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int32)
-                # the classes' own rows go along, to one bucket a batch
-                home = int(sig[0] % buckets) if len(sig) else 0
+                # the documents' own rows go along, dealt over the buckets: by id and place, as copies share a signature
                 m = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, home, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(sig), pa.array(sizes), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema=shape)
+                ids = part.column("doc_id").cast(pa.int64())
+                spread = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                home = (spread + np.arange(m, dtype=np.uint64)) % np.uint64(buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(sig), pa.array(sizes), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema=shape)
                 first = np.unique(sig, return_index=True)[1]
                 first = first[sizes[first] > 0]
                 if not len(first):
