@@ -5,8 +5,8 @@ pair to reach the threshold its rarest common shingle must lie in the first `n -
 any one global order. The order is by document frequency, then hash, so:
 
 1. One pass over the texts sends each shingle (48 bits and the number of its document within the batch, packed) to a
-   bucket by its value. Buckets return the shingles that two or more classes share; nothing else can count in an overlap.
-2. Each class gathers its shared shingles. Most classes are done here: their prefix is full of shingles they have alone.
+   bucket by its value; of a class, a bucket gets the signature alone. Buckets return the shingles that two or more classes share; nothing else can count in an overlap.
+2. Each class gathers its shared shingles and its size. Most classes are done here: their prefix is full of shingles they have alone.
 3. Classes linked by a chain of common prefix shingles form a block. Blocks, cut into tiles of at most TILE x TILE
    classes, are joined in a prefix tree: a tile's sets, in the global order, are stored in a compressed trie; each set
    walks it once, sharing the overlaps of common parts, and leaves a subtree as soon as overlap so far plus what remains
@@ -39,7 +39,7 @@ from kmeridian.session import saved, ship, shuffle_width
 
 WORDS, PERCENT = 5, 80
 TILE = 2000
-_BATCH = 30_000  # documents numbered by 16 bits
+_BATCH = 5000  # documents sorted together; numbered by 16 bits
 _hashed = Memo(xxhash.xxh3_64_intdigest, most=300_000)
 
 
@@ -75,16 +75,17 @@ def _unpack(blob: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.view("<u8").ravel()), np.ascontiguousarray(planes[:, 6:]).view("<u2").ravel()
 
 
-_SENT = "bucket int, doc_id long, sig long, n int, count int, blob binary, sigs binary, sizes binary"
+_SENT = "bucket int, doc_id long, sig long, n int, count int, blob binary, sigs binary"
 
 
 def _send(buckets: int, k: int):
-    shape = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("count", pa.int32()), ("blob", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary())])
+    shape = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("count", pa.int32()), ("blob", pa.binary()), ("sigs", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, _BATCH):
-                part = b.slice(at, _BATCH)
+            step = -(-b.num_rows // max(1, -(-b.num_rows // _BATCH)))  # even parts
+            for at in range(0, b.num_rows, max(1, step)):
+                part = b.slice(at, step)
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
                 sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int32)
@@ -93,7 +94,7 @@ def _send(buckets: int, k: int):
                 ids = part.column("doc_id").cast(pa.int64())
                 spread = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 home = (spread + np.arange(m, dtype=np.uint64)) % np.uint64(buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(sig), pa.array(sizes), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], schema=shape)
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(sig), pa.array(sizes), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 2], schema=shape)
                 first = np.unique(sig, return_index=True)[1]
                 first = first[sizes[first] > 0]
                 if not len(first):
@@ -108,7 +109,7 @@ def _send(buckets: int, k: int):
                     i, j = int(cuts[q]), int(cuts[q + 1])
                     if i < j:
                         own, local = np.unique(owner[i:j], return_inverse=True)
-                        rows.append((q, None, None, None, j - i, _pack(tokens[i:j], local), sig[first[own]].tobytes(), sizes[first[own]].tobytes()))
+                        rows.append((q, None, None, None, j - i, _pack(tokens[i:j], local), sig[first[own]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
 
     return send
@@ -124,31 +125,30 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if docs.num_rows:
             nulls = [pa.nulls(docs.num_rows, pa.int64()), pa.nulls(docs.num_rows, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(docs.column(c).combine_chunks() for c in range(3)), *nulls], schema=_SHARED)
-        tokens, sigs, sizes = [], [], []
-        for count, blob, s, z in zip(*(t.column(c).to_pylist() for c in ("count", "blob", "sigs", "sizes")), strict=True):
+        tokens, sigs = [], []
+        for count, blob, s in zip(*(t.column(c).to_pylist() for c in ("count", "blob", "sigs")), strict=True):
             if blob is not None:
                 token, owner = _unpack(blob, count)
                 tokens.append(token)
                 sigs.append(np.frombuffer(s, np.int64)[owner])
-                sizes.append(np.frombuffer(z, np.int32)[owner])
         if not tokens:
             continue
-        token, sig, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
+        token, sig = np.concatenate(tokens), np.concatenate(sigs)
         order = np.argsort(token, kind="stable")  # a token that stands alone needs no order of classes
         token = token[order]
         same = token[1:] == token[:-1]
         again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, sig, n = token[again], sig[order[again]], n[order[again]]
+        token, sig = token[again], sig[order[again]]
         order = np.lexsort((sig, token))
-        token, sig, n = token[order], sig[order], n[order]
+        token, sig = token[order], sig[order]
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]))) if len(token) else np.zeros(0, bool)
-        token, sig, n = token[new], sig[new], n[new]
+        token, sig = token[new], sig[new]
         _, inverse, df = np.unique(token, return_inverse=True, return_counts=True)
         df = df[inverse]
         keep = df > 1
         if keep.any():
             m = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(sig[keep]), pa.array(n[keep]), pa.array(token[keep].astype(np.int64)), pa.array(df[keep].astype(np.int32))], schema=_SHARED)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(sig[keep]), pa.nulls(m, pa.int32()), pa.array(token[keep].astype(np.int64)), pa.array(df[keep].astype(np.int32))], schema=_SHARED)
 
 
 def _least_common(n: int, percent: int) -> int:
@@ -160,7 +160,10 @@ def _gather(percent: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for (sig,), t in groups(batches, ["sig"]):
-            n = t.column("n")[0].as_py()
+            if t.num_rows == 1:
+                continue  # nothing is shared
+            n = pc.max(t.column("n")).as_py()  # of the class's own row, which has no shingle
+            t = t.filter(pc.is_valid(t.column("token")))
             take = n - _least_common(n, percent) + 1 - (n - t.num_rows)  # of the prefix, after the shingles it has alone
             if take > 0:
                 token, df = (t.column(c).to_numpy() for c in ("token", "df"))
@@ -289,11 +292,12 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int =
     spark = docs.sparkSession
     ship(spark)
     width = shuffle_width(spark)
-    buckets = 4 * width
+    buckets = 2 * width  # each costs a signature for every class that has a shingle there
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets, k), _SENT)
     shared = saved(sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_share, "doc_id long, sig long, n int, token long, df int"))
     own = shared.where("token is null").select("doc_id", "sig", "n")
-    gathered = shared.where("token is not null").select("sig", "n", "token", "df").repartition(width, "sig").sortWithinPartitions("sig")
+    sizes = own.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.lit(None).cast("long").alias("token"), F.lit(None).cast("int").alias("df"))
+    gathered = shared.where("token is not null").select("sig", "n", "token", "df").unionByName(sizes).repartition(width, "sig").sortWithinPartitions("sig")
     alive = saved(gathered.mapInArrow(_gather(percent), "sig long, n int, prefix array<long>, tokens binary, dfs binary"))
 
     postings = alive.select("sig", F.explode("prefix").alias("token"))
