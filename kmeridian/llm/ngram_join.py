@@ -39,8 +39,9 @@ from kmeridian.session import saved, ship, shuffle_width
 
 WORDS, PERCENT = 5, 80
 TILE = 2000
-_BATCH = 5000  # documents sorted together; numbered by 16 bits
-_hashed = Memo(xxhash.xxh3_64_intdigest, most=300_000)
+_DOCS, _TOKENS = 60_000, 2_000_000  # what is sorted together at most (one set can be larger); documents have 16-bit numbers
+_PART = 400_000  # tokens of a bucket that are looked at together, about
+_hashed = Memo(xxhash.xxh3_64_intdigest, most=100_000)
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -75,42 +76,60 @@ def _unpack(blob: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.view("<u8").ravel()), np.ascontiguousarray(planes[:, 6:]).view("<u2").ravel()
 
 
-_SENT = "bucket int, doc_id long, sig long, n int, count int, blob binary, sigs binary"
+_SENT = "bucket int, doc_id long, sig long, n int, count int, blob binary, classes int, sigs binary"
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    gaps = np.diff(values.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(gaps.T), asbytes=True)
+
+
+def _unpack_sorted(blob: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=8 * count, asbytes=True), np.uint8).reshape(8, count)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel())
 
 
 def _send(buckets: int, k: int):
-    shape = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("count", pa.int32()), ("blob", pa.binary()), ("sigs", pa.binary())])
+    shape = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("count", pa.int32()), ("blob", pa.binary()), ("classes", pa.int32()), ("sigs", pa.binary())])
+    edges = (np.arange(buckets + 1, dtype=object) * (1 << 48) // buckets).astype(np.uint64)
+
+    def dealt(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sigs = np.array(sorted(held), np.uint64)
+        sets = [held[s] for s in sigs.tolist()]
+        tokens = np.concatenate(sets) >> np.uint64(16)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        cuts, rows = np.searchsorted(tokens, edges).tolist(), []
+        for q, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i < j:
+                own, local = np.unique(owner[i:j], return_inverse=True)
+                rows.append((q, None, None, None, j - i, _pack(tokens[i:j], local), len(own), _pack_sorted(sigs[own])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # sets by signature
+        total = 0
         for b in batches:
-            step = -(-b.num_rows // max(1, -(-b.num_rows // _BATCH)))  # even parts
-            for at in range(0, b.num_rows, max(1, step)):
-                part = b.slice(at, step)
-                sets = [shingles(t, k) for t in part.column("text").to_pylist()]
-                sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                sizes = np.array([len(s) for s in sets], np.int32)
-                # the documents' own rows go along, dealt over the buckets: by id and place, as copies share a signature
-                m = part.num_rows
-                ids = part.column("doc_id").cast(pa.int64())
-                spread = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                home = (spread + np.arange(m, dtype=np.uint64)) % np.uint64(buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(sig), pa.array(sizes), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 2], schema=shape)
-                first = np.unique(sig, return_index=True)[1]
-                first = first[sizes[first] > 0]
-                if not len(first):
-                    continue
-                tokens = np.concatenate([sets[i] for i in first]) >> np.uint64(16)
-                owner = np.repeat(np.arange(len(first), dtype=np.uint16), sizes[first])
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=object) * (1 << 48) // buckets).astype(np.uint64))
-                rows = []
-                for q in range(buckets):
-                    i, j = int(cuts[q]), int(cuts[q + 1])
-                    if i < j:
-                        own, local = np.unique(owner[i:j], return_inverse=True)
-                        rows.append((q, None, None, None, j - i, _pack(tokens[i:j], local), sig[first[own]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
+            m, sig, sizes = b.num_rows, [], []
+            for text in b.column("text"):
+                s = shingles(text.as_py(), k)
+                sig.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                if len(s) and sig[-1] not in held:
+                    held[sig[-1]] = s
+                    total += len(s)
+                    if total >= _TOKENS or len(held) >= _DOCS:
+                        yield dealt(held)
+                        held, total = {}, 0
+            # the documents' own rows go along, dealt over the buckets: by id and place, as copies share a signature
+            ids = b.column("doc_id").cast(pa.int64())
+            spread = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            home = (spread + np.arange(m, dtype=np.uint64)) % np.uint64(buckets)
+            nulls = [pa.nulls(m, t) for t in shape.types[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *nulls], schema=shape)
+        if held:
+            yield dealt(held)
 
     return send
 
@@ -125,30 +144,42 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if docs.num_rows:
             nulls = [pa.nulls(docs.num_rows, pa.int64()), pa.nulls(docs.num_rows, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(docs.column(c).combine_chunks() for c in range(3)), *nulls], schema=_SHARED)
-        tokens, sigs = [], []
-        for count, blob, s in zip(*(t.column(c).to_pylist() for c in ("count", "blob", "sigs")), strict=True):
+        tokens, owners, sigs, known = [], [], [], 0
+        for count, blob, m, s in zip(*(t.column(c).to_pylist() for c in ("count", "blob", "classes", "sigs")), strict=True):
             if blob is not None:
                 token, owner = _unpack(blob, count)
                 tokens.append(token)
-                sigs.append(np.frombuffer(s, np.int64)[owner])
+                owners.append(owner.astype(np.int32) + np.int32(known))
+                sigs.append(_unpack_sorted(s, m).view(np.int64))
+                known += m
         if not tokens:
             continue
-        token, sig = np.concatenate(tokens), np.concatenate(sigs)
-        order = np.argsort(token, kind="stable")  # a token that stands alone needs no order of classes
-        token = token[order]
-        same = token[1:] == token[:-1]
-        again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, sig = token[again], sig[order[again]]
-        order = np.lexsort((sig, token))
-        token, sig = token[order], sig[order]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]))) if len(token) else np.zeros(0, bool)
-        token, sig = token[new], sig[new]
-        _, inverse, df = np.unique(token, return_inverse=True, return_counts=True)
-        df = df[inverse]
-        keep = df > 1
-        if keep.any():
-            m = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(sig[keep]), pa.nulls(m, pa.int32()), pa.array(token[keep].astype(np.int64)), pa.array(df[keep].astype(np.int32))], schema=_SHARED)
+        sig_of, low, high = np.concatenate(sigs), min(int(x[0]) for x in tokens), max(int(x[-1]) for x in tokens) + 1
+        parts = -(-sum(map(len, tokens)) // _PART)
+        edges = np.array([low + (high - low) * i // parts for i in range(parts + 1)], np.uint64)
+        cuts = [np.searchsorted(x, edges) for x in tokens]
+        for p in range(parts):
+            out = _repeated(np.concatenate([x[c[p] : c[p + 1]] for x, c in zip(tokens, cuts, strict=True)]), np.concatenate([x[c[p] : c[p + 1]] for x, c in zip(owners, cuts, strict=True)]), sig_of)
+            if out.num_rows:
+                yield out
+
+
+def _repeated(token: np.ndarray, owner: np.ndarray, sig_of: np.ndarray) -> pa.RecordBatch:
+    """A row for each token and class where two or more classes have the token."""
+    order = np.argsort(token, kind="stable")  # a token that stands alone needs no order of classes
+    token = token[order]
+    same = token[1:] == token[:-1]
+    again = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(token) else np.zeros(0, bool)
+    token, sig = token[again], sig_of[owner[order[again]]]
+    order = np.lexsort((sig, token))
+    token, sig = token[order], sig[order]
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]))) if len(token) else np.zeros(0, bool)
+    token, sig = token[new], sig[new]
+    _, inverse, df = np.unique(token, return_inverse=True, return_counts=True)
+    df = df[inverse]
+    keep = df > 1
+    m = int(keep.sum())
+    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(sig[keep]), pa.nulls(m, pa.int32()), pa.array(token[keep].astype(np.int64)), pa.array(df[keep].astype(np.int32))], schema=_SHARED)
 
 
 def _least_common(n: int, percent: int) -> int:
@@ -292,7 +323,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int =
     spark = docs.sparkSession
     ship(spark)
     width = shuffle_width(spark)
-    buckets = 2 * width  # each costs a signature for every class that has a shingle there
+    buckets = width  # each costs a signature for every class that has a shingle there
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(buckets, k), _SENT)
     shared = saved(sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_share, "doc_id long, sig long, n int, token long, df int"))
     own = shared.where("token is null").select("doc_id", "sig", "n")
