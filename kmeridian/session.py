@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Scratch folder used only where the cluster names none (tests, single machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Bytes of rows handed to a Python worker at once: Spark's own default is held on both sides of the pipe by every task.
+BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and keeps their batches small."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, SPARK_BATCH_BYTES) == SPARK_BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
