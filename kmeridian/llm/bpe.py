@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import heapq
 from collections.abc import Callable
 from itertools import repeat
@@ -84,6 +86,20 @@ class Memo(dict):
         return value
 
 
+_in_use: dict = {"by": "", "drop": dict}
+
+
+def sole(user: str, drop: Callable = dict) -> None:
+    """Frees what another operator memoised in this Python worker, which Spark uses again for later stages; drop frees
+    what user will hold. Called at the beginning of a batch; memos of one operator stay from batch to batch."""
+    if _in_use["by"] != user:
+        _in_use["drop"]()
+        _in_use.update(by=user, drop=drop)
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 class Chunks:
     """Values of whole texts from values of their chunks between single spaces.
 
@@ -93,7 +109,7 @@ class Chunks:
 
     def __init__(self, split: Callable[[str], list[str]], of_pieces: Callable[[list[str]], object], total: Callable):
         self.split, self.of_pieces, self.total = split, of_pieces, total
-        self.first, self.spaced = Memo(lambda c: self._value(c, "")), Memo(lambda c: self._value(c, " "))
+        self.first, self.spaced = Memo(lambda c: self._value(c, ""), most=50_000), Memo(lambda c: self._value(c, " "))
 
     def _value(self, chunk: str, space: str):
         return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of_pieces(self.split(space + chunk))

@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmeridian.llm.bpe import Chunks, Memo, merge, splitter
+from kmeridian.llm.bpe import Chunks, Memo, merge, sole, splitter
 from kmeridian.session import ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,9 +45,9 @@ class Codec:
         for token in ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, most=400_000, longest=2)
+        self.beside = Memo(self._beside, most=200_000, longest=2)
         self.shorter = Memo(self._shorter, most=100_000, longest=1 << 20)
-        self.encoded = Memo(self._encode_str)
+        self.encoded = Memo(self._encode_str, most=150_000)
         join = b"".join
         self.encode = Chunks(splitter(pattern).findall, lambda pieces: join(map(self.encoded.__getitem__, pieces)), join)
 
@@ -101,7 +101,9 @@ _codecs: dict[str, object] = {}
 
 
 def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+    sole("codec", _codecs.clear)
     if _codecs.get("of") is not ranks:
+        _codecs.clear()  # before another is built
         _codecs.update(of=ranks, codec=Codec(ranks, pattern))
     return _codecs["codec"]
 

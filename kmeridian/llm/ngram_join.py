@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmeridian.llm.bpe import Memo
+from kmeridian.llm.bpe import Memo, sole
 from kmeridian.llm.components import components
 from kmeridian.llm.streams import groups
 from kmeridian.session import saved, ship, shuffle_width
@@ -111,6 +111,7 @@ def _send(buckets: int, k: int):
         held: dict[int, np.ndarray] = {}  # sets by signature
         total = 0
         for b in batches:
+            sole("shingles", _hashed.clear)
             m, sig, sizes = b.num_rows, [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), k)
@@ -139,6 +140,7 @@ _SHARED = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: its documents' rows, and a row for each token and class where two or more classes have the token."""
+    sole("buckets")
     for _, t in groups(batches, ["bucket"]):
         docs = t.filter(pc.is_null(t.column("count"))).select(["doc_id", "sig", "n"]).combine_chunks()
         if docs.num_rows:

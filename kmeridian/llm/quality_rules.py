@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmeridian.llm.bpe import sole
 from kmeridian.llm.text import ASCII_SPACE, words
 from kmeridian.session import ship
 
@@ -79,6 +80,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")
     def of(texts: pd.Series) -> pd.DataFrame:
+        sole("rules")
         return pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
 
     counted = docs.withColumn("_c", of.asNondeterministic()(F.col(text)))  # else filters would count again
