@@ -107,9 +107,9 @@ class Chunks:
     characters on both sides, pre-tokens of the chunk before it and of the chunk after it, space included, are those of
     the text. Chunks recur, so theirs are memoised; a text with any other space in it is split as a whole."""
 
-    def __init__(self, split: Callable[[str], list[str]], of_pieces: Callable[[list[str]], object], total: Callable):
+    def __init__(self, split: Callable[[str], list[str]], of_pieces: Callable[[list[str]], object], total: Callable, most: int = 400_000):
         self.split, self.of_pieces, self.total = split, of_pieces, total
-        self.first, self.spaced = Memo(lambda c: self._value(c, ""), most=50_000), Memo(lambda c: self._value(c, " "))
+        self.first, self.spaced = Memo(lambda c: self._value(c, ""), most=min(most, 50_000)), Memo(lambda c: self._value(c, " "), most=most)
 
     def _value(self, chunk: str, space: str):
         return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of_pieces(self.split(space + chunk))

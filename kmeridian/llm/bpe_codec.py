@@ -29,6 +29,7 @@ from kmeridian.llm.bpe import Chunks, Memo, merge, sole, splitter
 from kmeridian.session import ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+MEMO = 400_000  # entries of each memo; fewer take less memory and more time
 
 
 @lru_cache(maxsize=4)
@@ -38,18 +39,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MEMO):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token in ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, most=200_000, longest=2)
+        self.beside = Memo(self._beside, most=most, longest=2)
         self.shorter = Memo(self._shorter, most=100_000, longest=1 << 20)
-        self.encoded = Memo(self._encode_str, most=150_000)
+        self.encoded = Memo(self._encode_str, most=most)
         join = b"".join
-        self.encode = Chunks(splitter(pattern).findall, lambda pieces: join(map(self.encoded.__getitem__, pieces)), join)
+        self.encode = Chunks(splitter(pattern).findall, lambda pieces: join(map(self.encoded.__getitem__, pieces)), join, most)
 
     def _merged(self, piece: bytes) -> list[bytes]:
         return merge(piece, self.ranks, False)
@@ -100,11 +101,11 @@ class Codec:
 _codecs: dict[str, object] = {}
 
 
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def _codec(ranks: dict[bytes, int], pattern: str, most: int = MEMO) -> Codec:
     sole("codec", _codecs.clear)
-    if _codecs.get("of") is not ranks:
+    if _codecs.get("of") is not ranks or _codecs["most"] != most:
         _codecs.clear()  # before another is built
-        _codecs.update(of=ranks, codec=Codec(ranks, pattern))
+        _codecs.update(of=ranks, most=most, codec=Codec(ranks, pattern, most))
     return _codecs["codec"]
 
 
@@ -113,13 +114,13 @@ def _shared(docs: DataFrame, path: str | None):
     return docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))  # one vocabulary: bounded
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "ids", memo: int = MEMO) -> DataFrame:
     """docs with the token ids of their texts in a column of arrays."""
     ranks, pattern = _shared(docs, path), public_tokenizers.PATTERN
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        codec = _codec(ranks.value, pattern)
+        codec = _codec(ranks.value, pattern, memo)
         return pd.Series([np.frombuffer(codec.encode(t) if t else b"", "<i4") for t in texts], dtype=object)
 
     return docs.withColumn(into, ids(F.col(text)))
