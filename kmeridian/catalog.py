@@ -1,6 +1,8 @@
 """Queries of the sequence engine by name, and SQL for those that SQL can express.
 
-Sequences are derived from texts (`dna`): two bases a byte. References: `benchmark`; queries: `conversations`."""
+Sequences are derived from texts (`dna`): two bases a byte. The sequences of the whole of `documents` go through every
+operator: all of them through the sequence queries; in mapping, those of even doc_id are the references and the rest the
+queries. Queries whose SQL is over `benchmark` and `conversations` keep those tables and have a twin NAME_documents."""
 
 from __future__ import annotations
 
@@ -33,8 +35,21 @@ def talk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), E.dna(F.col("text")).alias("seq"))
 
 
-def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    return K.kmers(refs(spark, d), K27)
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), E.dna(F.col("text")).alias("seq"))
+
+
+def even(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).where("query_id % 2 = 0")
+
+
+def rest(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are not among even, those without an id included."""
+    return texts(spark, d).where("not coalesce(query_id % 2 = 0, false)")
+
+
+def _kmers(spark: SparkSession, d: str, of=refs) -> DataFrame:
+    return K.kmers(of(spark, d), K27)
 
 
 def _xor(df: DataFrame, value) -> DataFrame:
@@ -46,108 +61,108 @@ def nt_composition(spark, d):
     return s.agg(*(F.sum(F.length("s") - F.length(F.replace("s", F.lit(c)))).alias(c.lower()) for c in "ACGTN"))
 
 
-def kmer_extract(spark, d):
-    return _kmers(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("bp").alias("n_distinct"))
+def kmer_extract(spark, d, of=refs):
+    return _kmers(spark, d, of).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("bp").alias("n_distinct"))
 
 
-def kmer_encode(spark, d):
-    return _xor(_kmers(spark, d), F.col("bp"))
+def kmer_encode(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), F.col("bp"))
 
 
-def revcomp(spark, d):
-    return _xor(_kmers(spark, d), E.reverse_complement(F.col("bp"), K27))
+def revcomp(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), E.reverse_complement(F.col("bp"), K27))
 
 
-def bp_to_planes(spark, d):
-    return _xor(_kmers(spark, d), E.planes(F.col("bp")))
+def bp_to_planes(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), E.planes(F.col("bp")))
 
 
-def lsh_bucket(spark, d):
-    return _xor(_kmers(spark, d), E.lsh_bucket(F.col("bp"), PPOS))
+def lsh_bucket(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), E.lsh_bucket(F.col("bp"), PPOS))
 
 
-def drop_positions(spark, d):
-    return _xor(_kmers(spark, d), E.rest(F.col("bp"), PARAMS.npos))
+def drop_positions(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), E.rest(F.col("bp"), PARAMS.npos))
 
 
-def hamming_pairs(spark, d):
-    k = _kmers(spark, d)
-    after = k.select("query_id", (F.col("pos") - 1).alias("pos"), F.col("bp").alias("y"))
-    return k.join(after, ["query_id", "pos"]).groupBy("query_id").agg(F.sum(E.hamming(F.col("bp"), F.col("y"))).cast("long").alias("total"))
+def hamming_pairs(spark, d, of=refs):
+    k = _kmers(spark, d, of)
+    after = k.select(F.col("query_id").alias("_id"), (F.col("pos") - 1).alias("_pos"), F.col("bp").alias("y"))
+    return k.join(after, F.col("query_id").eqNullSafe(F.col("_id")) & (F.col("pos") == F.col("_pos"))).groupBy("query_id").agg(F.sum(E.hamming(F.col("bp"), F.col("y"))).cast("long").alias("total"))
 
 
-def mixer(spark, d):
-    return _xor(_kmers(spark, d), E.mix_kernel()(F.col("bp")))
+def mixer(spark, d, of=refs):
+    return _xor(_kmers(spark, d, of), E.mix_kernel()(F.col("bp")))
 
 
-def _minimized(spark, d):
-    return K.minimizers(refs(spark, d), K27, PARAMS.w)
+def _minimized(spark, d, of=refs):
+    return K.minimizers(of(spark, d), K27, PARAMS.w)
 
 
-def minimizers(spark, d):
-    return _minimized(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("bp").alias("n_distinct"), F.bit_xor("bp").alias("x"))
+def minimizers(spark, d, of=refs):
+    return _minimized(spark, d, of).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("bp").alias("n_distinct"), F.bit_xor("bp").alias("x"))
 
 
-def sketch_distinct(spark, d, p=PARAMS):
-    return S.keyed(_minimized(spark, d), p).select("rix", "enc").distinct().agg(F.count("*").alias("n"), F.count_distinct("rix").alias("buckets"), F.bit_xor("enc").alias("x"), F.bit_xor("rix").alias("y"))
+def sketch_distinct(spark, d, p=PARAMS, of=refs):
+    return S.keyed(_minimized(spark, d, of), p).select("rix", "enc").distinct().agg(F.count("*").alias("n"), F.count_distinct("rix").alias("buckets"), F.bit_xor("enc").alias("x"), F.bit_xor("rix").alias("y"))
 
 
-def bucket_offsets(spark, d):
-    rows = S.keyed(_minimized(spark, d), PARAMS).select(F.lit("ref").alias("rid"), "rix", "enc").distinct()
+def bucket_offsets(spark, d, of=refs):
+    rows = S.keyed(_minimized(spark, d, of), PARAMS).select(F.lit("ref").alias("rid"), "rix", "enc").distinct()
     return S.bucket_offsets(rows).select("rix", "size", "end")
 
 
-def hll_registers(spark, d):
-    return K.hll_registers(_kmers(spark, d).withColumn("z", E.mix_kernel()(F.col("bp"))))
+def hll_registers(spark, d, of=refs):
+    return K.hll_registers(_kmers(spark, d, of).withColumn("z", E.mix_kernel()(F.col("bp"))))
 
 
 def hll_estimate(spark, d):
-    return K.hll_estimate(hll_registers(spark, d)).select(F.round("estimate", 4).alias("estimate"))
+    return K.hll_estimate(hll_registers(spark, d, texts)).select(F.round("estimate", 4).alias("estimate"))
 
 
-def _least(spark, d):
-    rows = S.keyed(_minimized(spark, d), PARAMS).select(F.lit("ref").alias("rid"), "rix", "enc").distinct()
+def _least(spark, d, of=refs, to=talk):
+    rows = S.keyed(_minimized(spark, d, of), PARAMS).select(F.lit("ref").alias("rid"), "rix", "enc").distinct()
     meta = spark.createDataFrame([("ref", 0, 27, 31, 11, 2, 1, True, PARAMS.nrows, list(PPOS), list(PARAMS.npos), 0.25, 0)], S.META)
-    return M.least_distances(talk(spark, d), meta, rows)
+    return M.least_distances(to(spark, d), meta, rows)
 
 
-def lsh_min_hamming(spark, d):
-    return _least(spark, d).groupBy("is_rc", "hd").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"))
+def lsh_min_hamming(spark, d, of=refs, to=talk):
+    return _least(spark, d, of, to).groupBy("is_rc", "hd").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"))
 
 
-def bin_histogram(spark, d):
-    return M.histograms(_least(spark, d), 4, 6).drop("rid")
+def bin_histogram(spark, d, of=refs, to=talk):
+    return M.histograms(_least(spark, d, of, to), 4, 6).drop("rid")
 
 
-def strand_totals(spark, d):
-    h = M.histograms(_least(spark, d), 4, 6)
+def strand_totals(spark, d, of=refs, to=talk):
+    h = M.histograms(_least(spark, d, of, to), 4, 6)
     return h.groupBy("query_id", "is_rc").agg(*(F.sum(c).alias(c) for c in ("h0", "h1", "h2", "h3", "h4", "miss")))
 
 
-def genome_totals(spark, d):
-    return M.histograms(_least(spark, d), 4, 6).groupBy("is_rc").agg(*(F.sum(c).alias(c) for c in ("h0", "h1", "h2", "h3", "h4", "miss")))
+def genome_totals(spark, d, of=refs, to=talk):
+    return M.histograms(_least(spark, d, of, to), 4, 6).groupBy("is_rc").agg(*(F.sum(c).alias(c) for c in ("h0", "h1", "h2", "h3", "h4", "miss")))
 
 
 def mle_distance(spark, d):
     """rid, query_id and the distances of the whole query on both strands."""
-    sk = S.build(refs(spark, d), "ref", PARAMS, created_ts=0)
-    r = M.map_queries(talk(spark, d), sk, M.MapParams(min_length=200, bin_shift=3, sample_size=0))
+    sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
+    r = M.map_queries(rest(spark, d), sk, M.MapParams(min_length=200, bin_shift=3, sample_size=0))
     return r.groupBy("QUERY_ID", "IS_RC").agg(F.max("DIST_CONTIG").alias("d"))
 
 
 def full_map(spark, d):
-    sk = S.build(refs(spark, d), "ref", PARAMS, created_ts=0)
-    return M.map_queries(talk(spark, d), sk, M.MapParams(min_length=200, bin_shift=3)).drop("emit")
+    sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
+    return M.map_queries(rest(spark, d), sk, M.MapParams(min_length=200, bin_shift=3)).drop("emit")
 
 
 def full_map_eight(spark, d):
-    sk = S.build(refs(spark, d), "ref", PARAMS, created_ts=0)
-    return M.map_queries(talk(spark, d), sk, M.MapParams(thresholds=tuple(x / 20 for x in range(1, 9)), min_length=200, bin_shift=3), kernel_rows=1_000_000).drop("emit")
+    sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
+    return M.map_queries(rest(spark, d), sk, M.MapParams(thresholds=tuple(x / 20 for x in range(1, 9)), min_length=200, bin_shift=3), kernel_rows=1_000_000).drop("emit")
 
 
 def full_map_enum(spark, d):
-    sk = S.build(refs(spark, d), "ref", PARAMS, created_ts=0)
-    return M.map_queries(talk(spark, d), sk, M.MapParams(min_length=200, bin_shift=3, enum_only=True, sample_size=0)).drop("emit")
+    sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
+    return M.map_queries(rest(spark, d), sk, M.MapParams(min_length=200, bin_shift=3, enum_only=True, sample_size=0)).drop("emit")
 
 
 def _walk(spark, d):
@@ -354,3 +369,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (nt_composition, kmer_extract, kmer_encode, revcomp, bp_to_planes, lsh_bucket, drop_positions, hamming_pairs, mixer, minimizers, sketch_distinct, bucket_offsets, hll_registers, hll_estimate, lsh_min_hamming, bin_histogram, strand_totals, genome_totals, mle_distance, full_map, full_map_eight, full_map_enum, dense_bins, scans, intervals_mx, overlap_antijoin, bh_q, quantiles, gamma_moments, strand_label, p_bins, distance_bins, gff_parse, annotation_overlap, retained_refs, coordinates)
 } | {"partition_filter": partial(sketch_distinct, p=HALF)}
+#: The queries over benchmark and conversations, over whole documents.
+QUERIES |= {f"{n}_documents": partial(QUERIES[n], of=texts) for n in ("kmer_extract", "kmer_encode", "revcomp", "bp_to_planes", "lsh_bucket", "drop_positions", "hamming_pairs", "mixer", "minimizers", "sketch_distinct", "partition_filter", "bucket_offsets", "hll_registers")}
+QUERIES |= {f"{n}_documents": partial(QUERIES[n], of=even, to=rest) for n in ("lsh_min_hamming", "bin_histogram", "strand_totals", "genome_totals")}

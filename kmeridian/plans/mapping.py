@@ -266,7 +266,8 @@ def map_queries(queries: DataFrame, sketch: tuple[DataFrame, DataFrame], p: MapP
     model = meta.select("rid", "k", "h", partial_rho(F.col("rho"), F.col("m"), F.col("r"), F.col("frac")).alias("rho"))
     spans = queries.select("query_id", F.length("seq").cast("long").alias("seq_len")).join(F.broadcast(model))  # queries x sketches: a row per sketch
     spans = spans.where((F.col("seq_len") >= F.col("k")) & (F.ceil((F.col("seq_len") - F.col("k") + 1) / (1 << p.bin_shift)) >= 2))
-    ready = spans.join(listed, ["rid", "query_id"], "left").withColumn("bins", F.coalesce("bins", F.array().cast(dict(listed.dtypes)["bins"])))
+    listed = listed.select(F.col("rid").alias("_rid"), F.col("query_id").alias("_query"), "bins")
+    ready = spans.join(listed, (F.col("rid") == F.col("_rid")) & F.col("query_id").eqNullSafe(F.col("_query")), "left").drop("_rid", "_query").withColumn("bins", F.coalesce("bins", F.array().cast(dict(listed.dtypes)["bins"])))
     records = saved(ready.repartition("rid", "query_id").mapInPandas(_mapped(p, kind), _record(kind)))
 
     sums = records.where("hist is not null").groupBy("rid").agg(F.array(*(F.sum(F.get("hist", F.lit(d))) for d in range(p.hdist + 1))).alias("v"), F.sum("misses").alias("u"))
