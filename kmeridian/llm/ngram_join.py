@@ -356,7 +356,14 @@ def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that link to a document of lower doc_id; of rows that repeat doc_id and text, one stays."""
-    gone = components_of(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each component: of its rows the one of least doc_id, those without an id last, and of rows of one id the
+    least by a hash of id and text. Rows are told apart by that hash, so a repeated doc_id takes no other text with it; of
+    rows that repeat doc_id and text, one stays. Texts without words are each their own component."""
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    own, linked = classes(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    own = own.select(F.col("doc_id").alias("_row"), "sig", "n").distinct()
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row")).alias("key"))
+    least = own.where("n > 0").join(ids, "_row").groupBy("sig").agg(F.min("key").alias("key"))
+    of_each = least.join(linked.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("key").alias("key"))
+    stay = of_each.select(F.col("key.row").alias("_row")).unionByName(own.where("n = 0").select("_row"))
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
