@@ -64,6 +64,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _budget(cosine: float, blocks: int) -> float:
+    """The squared distance within which a block's pairs are looked for and count as met."""
+    return (2 - 2 * cosine) / blocks + SLACK
+
+
+def _width(cosine: float, blocks: int) -> float:
+    """Of a cell: no coordinate of a pair within the budget is further apart, rounding included."""
+    return float(np.sqrt(_budget(cosine, blocks))) + SLACK
+
+
 def _cells(cosine: float):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
@@ -76,7 +86,7 @@ def _cells(cosine: float):
                 r = turned.setdefault(dim, rotation(dim))
                 y = (_unit(np.array([np.frombuffer(raws[i], float) for i in at])) @ r).astype("<f4")
                 parts = blocks_of(dim)
-                width = np.sqrt((2 - 2 * cosine) / len(parts)) + SLACK
+                width = _width(cosine, len(parts))
                 taken = pa.array(at)
                 rest = [b.column(c).take(taken) for c in ("key", "label", "times", "raw")]
                 rows = pa.array([v.tobytes() for v in y], pa.binary())
@@ -140,7 +150,7 @@ def _match(cosine: float):
             turned = np.frombuffer(b"".join(t.column("turned").to_pylist()), "<f4").reshape(-1, dim)
             unit = _unit(np.frombuffer(b"".join(t.column("raw").to_pylist()), float).reshape(-1, dim))
             parts = blocks_of(dim)
-            found = [(x[ok], y[ok]) for x, y in _pairs(turned, probe, own, i, j, parts, block, (2 - 2 * cosine) / len(parts) + SLACK) if (ok := (unit[x] * unit[y]).sum(axis=1) >= cosine).any()]
+            found = [(x[ok], y[ok]) for x, y in _pairs(turned, probe, own, i, j, parts, block, _budget(cosine, len(parts))) if (ok := (unit[x] * unit[y]).sum(axis=1) >= cosine).any()]
             if found:
                 a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 links = np.bincount(a, times[b], len(key)) + np.bincount(b, times[a], len(key))
