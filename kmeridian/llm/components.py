@@ -54,7 +54,8 @@ def _stars(forest: Forest) -> pa.RecordBatch:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links: two long columns. Returns node, root for every linked node; root: the least node of its component."""
+    """links: two long columns. Returns node, root for every linked node; root: the least node of its component. Raises if
+    the stars still change after most_rounds rounds."""
     ship(links.sparkSession)
     stars = saved(links.toDF("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct())  # a > b
     before = None
@@ -69,4 +70,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before or not after[0]:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -46,3 +46,10 @@ def test_a_link_across_two_cells_is_found(spark):
     assert a @ b >= 0.93
     out = embedding_join.linked(spark.createDataFrame([(1, a.tolist(), 0), (2, b.tolist(), 0)], "vec_id long, embedding array<double>, label int")).collect()
     assert {(x["vec_id"], x["n_links"], x["component_id"]) for x in out} == {(1, 1, 1), (2, 1, 1)}
+
+
+def test_unsettled_components_raise(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(7)
+    with pytest.raises(RuntimeError):
+        components(links, most_rounds=1)
+    assert {r["root"] for r in components(links).collect()} == {0}
