@@ -341,7 +341,7 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int =
     members = members.join(cuts, "block").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     laid = tiles.select("block", "i", "j", "sig", "n", "tokens", "dfs", "own").repartition(width, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return own, components(laid.mapInArrow(_join(percent), "a long, b long"))
+    return own, components(saved(laid.mapInArrow(_join(percent), "a long, b long")))  # saved: a task with two kernels would hold two workers
 
 
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -41,8 +41,8 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = saved(pii.with_candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans"))
-    return pii.listed(candidates, pii.fit(candidates))
+    found = saved(table(spark, sf_dir, "documents").select("doc_id", pii.candidates(F.col("text")).alias("spans")))
+    return pii.listed(found, pii.fit(found))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

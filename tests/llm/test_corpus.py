@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from kmeridian.llm import bpe_codec, chat, embedding_join, mixing, ngram_join, pii, quality, quality_rules, token_counts, toxicity
+from kmeridian.llm import bpe_codec, chat, embedding_join, mixing, ngram_join, quality, token_counts, toxicity
 from kmeridian.llm.components import components
 
 ODD = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "  \n ", "en", "a", 3), (None, "x y", "en", "a", 3), (4, "word " * 30000, "de", "b", 1), (4, "word " * 30000, "de", "b", 1), (5, "é <|endoftext|> a@b.co 1.2.3.4", "fr", "b", 9)]
@@ -48,48 +48,6 @@ def test_codec_equals_library(odd, none):
     assert bpe_codec.digests(none).count() == 0
 
 
-def test_rules_by_definition(odd, none):
-    def brute(text):
-        w = (text or "").encode().split()
-        win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        again = {x for x, n in Counter(win).items() if n > 1}
-        inside = {j for i, x in enumerate(win) if x in again for j in (i, i + 1, i + 2)}
-        return len(w), len(inside)
-
-    rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 5, 50, 400):
-        text = " ".join(rng.choice(list("abcd"), n))
-        assert quality_rules.counts(text)[0::4][:2] == brute(text)
-    got = quality_rules.measured(odd).collect()
-    assert all(r["base_failed"] for r in got) and len(got) == len(ODD)  # few words, or repeats alone
-    assert quality_rules.measured(none).count() == 0
-    assert abs(quality_rules.binomial_below(0, 100, 0.03) - 0.97**100) < 1e-12
-
-
-def test_rules_certify_only_with_evidence(spark):
-    good = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 0) for i in range(1500)]
-    bad = [(10000 + i, " ".join(f"w{i}x{j} ###" for j in range(60)), "en", "s", 0) for i in range(20)]
-    few = [(20000, " ".join(f"f{j} #" for j in range(60)), "xx", "s", 0)]
-    labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(20000, 1)], "doc_id long, quality int")
-    counted = quality_rules.measured(spark.createDataFrame(good + bad + few, DOCS))
-    out = quality_rules.judged(counted, quality_rules.fit(counted, labels, risk=0.05)).select("doc_id", "kept").collect()
-    assert {r["doc_id"] for r in out if not r["kept"]} == {10000 + i for i in range(20)}
-
-
-def test_pii_spans(spark, odd, none):
-    texts = ["a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1", "pay 4111 1111 1111 1111 or 4111 1111 1111 1112", "+49 (30) 123-4567.", "\x01x@y.zz", "1 " * 3000, "card 4111-1111-1111-1111-2"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r["spans"] for r in pii.listed(pii.with_candidates(df), {}).orderBy("doc_id").collect()]
-    counts = [tuple(r)[1:5] for r in pii.listed(pii.with_candidates(df), {}).orderBy("doc_id").collect()]
-    assert counts == [(2, 2, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
-    assert got == ["email:0:5,email:5:11,ip:12:19,ip:20:27", "card:4:23", "phone:0:17", "email:1:7", "", ""]
-    masked = [r["text"] for r in pii.masked(df, {}).orderBy("doc_id").collect()]
-    assert masked[1] == "pay <CARD> or 4111 1111 1111 1112" and masked[4] == texts[4]
-    weights = pii.fit(pii.with_candidates(odd))
-    assert {r["doc_id"]: r["n_email"] + r["n_ip"] for r in pii.listed(pii.with_candidates(odd), weights).collect()}[5] == 2
-    assert pii.fit(pii.with_candidates(none)) == {} and pii.masked(none, {}).count() == 0
-
-
 def test_mixing(spark, odd, none):
     assert mixing.targets({"a": 10, "b": 100, "c": 100}) == {"a": 30.0, "b": 120.0, "c": 60.0}
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "en", "abc"[i % 3] if i % 10 else None, 0) for i in range(600)], DOCS)
