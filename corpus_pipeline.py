@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmeridian.llm import bpe_codec, mixing, ngram_join, pii, quality_rules
-from kmeridian.session import saved, scratch, table
+from kmeridian.session import scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cutoffs = quality_rules.fit(saved(quality_rules.measured(docs)), table(spark, sf_dir, "labels"))
-    return quality_rules.judged(quality_rules.with_counts(docs), cutoffs).where("kept").select(*docs.columns)
+    return quality_rules.rejecting(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights = pii.fit(pii.with_candidates(docs.select("text")).select("_spans"))
-    return pii.masked(docs, weights)
+    return pii.masking(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
