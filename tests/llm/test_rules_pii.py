@@ -221,7 +221,7 @@ def test_masking(spark):
     assert out.columns == docs.columns
     rows = out.collect()
     got = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None}
-    assert got[0] == "pay <CARD> or 4111 1111 1111 1112" and got[1] == 'é token = "<SECRET>" <EMAIL>' and got[2] is None and got[3] == ""
+    assert got[0] == "pay <CARD> or 4111 1111 1111 1112" and got[1] == 'é token = "<SECRET>" <EMAIL>.' and got[2] is None and got[3] == ""
     assert got[4] == "\x01<EMAIL>" and got[6] == "<EMAIL> <IP> " * 3000 and got[7] == 'token = "<SECRET>" a'
     assert [r["text"] for r in rows if r["doc_id"] is None] == ["<EMAIL>"] * 2 and {(r["row"], r["spans"], r["a.b"]) for r in rows} == {("r", "s", 1)}
     assert pii.masking(docs.limit(0)).count() == 0
