@@ -4,11 +4,16 @@ A record is JSON in any layout that MAPPINGS describes. Its fingerprint is a has
 items as `[]`); the fingerprint selects a declarative mapping, which lists where turns come from, and every layout ends
 as the same canonical turns. Turns are then written with one template: marks around role and text, control strings
 inside both escaped by a backslash after their first character, backslashes doubled, so that reading back is exact.
-The loss mask covers what the assistant says.
+The loss mask covers what the assistant says. Roles stay as the record has them, but where a layout has names of its own
+for user and assistant, its mapping translates them.
 
 Defined results: null role and null text count as empty; turns stand in order of turn, null last, ties by role and
-then text; a null conv_id is a conversation of its own; a conversation without rows does not exist; a record whose
-layout is unknown fails, naming its fields. A conversation is one output row, so its turns meet in one task.
+then text; repeated rows are repeated turns; a null conv_id is a conversation of its own; a conversation without rows does
+not exist; an empty or null list of turns and a null record have no turns; texts of any length are written whole; an empty
+table gives no rows. A record that is no JSON object, whose fields fit no mapping, or whose role or text is not a string, is
+rejected: its formatted text and mask are null and `problem` says why; all other records go on. Kept columns come first, by
+the names given, and may not be called formatted, mask or problem. A conversation is one output row, so its turns meet in
+one task.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmeridian.session import ship
@@ -40,40 +45,62 @@ def paths(value: object, at: str = "") -> set[str]:
     if isinstance(value, dict):
         return set().union(*(paths(v, f"{at}.{k}") for k, v in value.items())) if value else {at + ".{}"}
     if isinstance(value, list):
-        return set().union(*(paths(v, at + "[]") for v in value)) if value else {at + "[]"}
+        return set().union(*(paths(v, at + "[]") for v in value)) if value else {at + "[0]"}
     return {at}
 
 
-#: Layout: an example that has its fields, and its mapping: (role or role field, text field), or an array of such.
-#: A field in front of `[]` is an array of turns.
-MAPPINGS: tuple[tuple[dict, tuple[tuple[str, str], ...]], ...] = (
-    ({"messages": [{"role": "", "content": ""}]}, (("messages[].role", "messages[].content"),)),
-    ({"conversations": [{"from": "", "value": ""}]}, (("conversations[].from", "conversations[].value"),)),
-    ({"system": "", "messages": [{"role": "", "content": ""}]}, (("=system", "system"), ("messages[].role", "messages[].content"))),
-    ({"prompt": "", "response": ""}, (("=user", "prompt"), ("=assistant", "response"))),
-    ({"prompt": "", "completion": ""}, (("=user", "prompt"), ("=assistant", "completion"))),
-    ({"instruction": "", "output": ""}, (("=user", "instruction"), ("=assistant", "output"))),
-    ({"instruction": "", "input": "", "output": ""}, (("=user", "instruction"), ("=user", "input"), ("=assistant", "output"))),
+#: Roles as the layouts of shared chats call them.
+SHARED = {"human": "user", "gpt": "assistant"}
+#: Layout: an example that has its fields, its mapping: (role or role field, text field), or an array of such, and the names
+#: that it has for roles. A field in front of `[]` is an array of turns.
+MAPPINGS: tuple[tuple[dict, tuple[tuple[str, str], ...], dict[str, str]], ...] = (
+    ({"messages": [{"role": "", "content": ""}]}, (("messages[].role", "messages[].content"),), {}),
+    ({"messages": []}, (), {}),
+    ({"messages": None}, (), {}),
+    ({"conversations": [{"from": "", "value": ""}]}, (("conversations[].from", "conversations[].value"),), SHARED),
+    ({"conversations": []}, (), {}),
+    ({"conversations": None}, (), {}),
+    ({"system": "", "messages": [{"role": "", "content": ""}]}, (("=system", "system"), ("messages[].role", "messages[].content")), {}),
+    ({"system": "", "messages": []}, (("=system", "system"),), {}),
+    ({"prompt": "", "response": ""}, (("=user", "prompt"), ("=assistant", "response")), {}),
+    ({"prompt": "", "completion": ""}, (("=user", "prompt"), ("=assistant", "completion")), {}),
+    ({"instruction": "", "output": ""}, (("=user", "instruction"), ("=assistant", "output")), {}),
+    ({"instruction": "", "input": "", "output": ""}, (("=user", "instruction"), ("=user", "input"), ("=assistant", "output")), {}),
 )
-#: Other names of roles.
-ROLES = {"human": "user", "gpt": "assistant"}
-BY_PRINT = {fingerprint(example): mapping for example, mapping in MAPPINGS}
+BY_PRINT = {fingerprint(example): (mapping, names) for example, mapping, names in MAPPINGS}
 
 
-def canonical(record: dict) -> list[Turn]:
+def _said(value: object, what: str) -> str:
+    if value is not None and not isinstance(value, str):
+        raise ValueError(f"{what} is not a string")
+    return value or ""
+
+
+def canonical(record: object) -> list[Turn]:
     """The turns of a record, by the mapping that its fingerprint selects."""
-    mapping = BY_PRINT.get(fingerprint(record))
-    if mapping is None:
+    found = BY_PRINT.get(fingerprint(record)) if isinstance(record, dict) else None
+    if found is None:
         raise ValueError(f"no mapping for a record with the fields {sorted(paths(record))}")
+    mapping, names = found
+    if not mapping and any(record.values()):
+        raise ValueError(f"no list of turns in the fields {sorted(paths(record))}")
     turns: list[Turn] = []
     for role, text in mapping:
         array, _, field = text.rpartition("[].")
         for item in record[array] if array else [record]:
-            said = role[1:] if role[0] == "=" else item[role.rpartition("[].")[2]] or ""
-            turns.append((ROLES.get(said, said) if role[0] != "=" else said, item[field] or ""))
+            said = role[1:] if role[0] == "=" else _said(item[role.rpartition("[].")[2]], role)
+            turns.append((names.get(said, said), _said(item[field], text)))
     return turns
 
 
+def _turns(record: str | None) -> tuple[list[Turn] | None, str | None]:
+    """(turns, None), or (None, why there are none)."""
+    try:
+        return (canonical(json.loads(record)) if record else []), None
+    except (ValueError, RecursionError) as problem:
+        return None, str(problem)
+
+
 def escape(text: str) -> str:
     return CONTROL.sub(r"\g<0>\\", text.replace("\\", "\\\\"))
 
@@ -103,39 +130,56 @@ def parse(formatted: str) -> list[Turn]:
     return turns
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[str], str, list[Column]]:
+    """Plain names for columns to be kept, their part of a schema, and the columns."""
+    plain = [f"k{i}" for i in range(len(keep))]
+    return plain, "".join(f"{p} {df.schema[n].dataType.simpleString()}, " for p, n in zip(plain, keep, strict=True)), [F.col(f"`{n}`").alias(p) for p, n in zip(plain, keep, strict=True)]
+
+
 def formatted(records: DataFrame, record: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, the formatted text and its loss mask for each JSON record; a null record has no turns."""
+    """keep, the formatted text, its loss mask, and what is wrong with a record that has neither."""
     ship(records.sparkSession)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [render(canonical(json.loads(r)) if r else []) for r in b.column("_record").to_pylist()]
-            mask = pa.array([[{"start": x, "end": y} for x, y in m] for _, m in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([t for t, _ in done], pa.string()), mask], [*keep, "formatted", "mask"])
+            texts, masks, problems = [], [], []
+            for r in b.column(b.num_columns - 1).to_pylist():
+                turns, problem = _turns(r)
+                text, mask = render(turns) if turns is not None else (None, None)
+                texts.append(text)
+                masks.append(mask if mask is None else [{"start": x, "end": y} for x, y in mask])
+                problems.append(problem)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(masks, span), pa.array(problems, pa.string())], [*plain, "formatted", "mask", "problem"])
 
-    kept = "".join(f"`{n}` {t}, " for n, t in records.dtypes if n in keep)
-    return records.select(*keep, F.col(record).alias("_record")).mapInArrow(write, f"{kept}formatted string, mask array<struct<start:long,end:long>>")
+    plain, kept, chosen = _kept(records, keep)
+    rows = records.select(*chosen, F.col(f"`{record}`").alias("record"))
+    return rows.mapInArrow(write, f"{kept}formatted string, mask array<struct<start:long,end:long>>, problem string").toDF(*keep, "formatted", "mask", "problem")
 
 
 def read_back(chats: DataFrame, keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
-    """What formatted conversations say, read from the text and its mask alone."""
+    """What formatted conversations say, read from the text and its mask alone; nulls for a rejected one."""
     ship(chats.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, mask in zip(b.column("formatted").to_pylist(), b.column("mask").to_pylist(), strict=True):
+            for text, mask in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
+                if text is None:
+                    rows.append((None,) * 5)
+                    continue
                 turns = parse(text)
                 loss = "".join(unescape(text[m["start"] : m["end"]]) for m in mask)
                 said = "".join(f"{role}\n{what}\n" for role, what in turns)
                 rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, columns, kinds)], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, columns, kinds)], [*plain, *names])
 
-    kept = "".join(f"`{n}` {t}, " for n, t in chats.dtypes if n in keep)
-    return chats.mapInArrow(read, f"{kept}n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    plain, kept, chosen = _kept(chats, keep)
+    rows = chats.select(*chosen, "formatted", "mask")
+    return rows.mapInArrow(read, f"{kept}n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").toDF(*keep, *names)
 
 
 def records_of(conversations: DataFrame) -> DataFrame:

@@ -7,18 +7,26 @@ any one global order. The order is by document frequency, then hash, so:
 1. One pass over the texts sends each shingle (48 bits and the number of its document within the batch, packed) to a
    bucket by its value; of a class, a bucket gets the signature alone. Buckets return the shingles that two or more classes share; nothing else can count in an overlap.
 2. Each class gathers its shared shingles and its size. Most classes are done here: their prefix is full of shingles they have alone.
-3. Classes linked by a chain of common prefix shingles form a block. Blocks, cut into tiles of at most TILE x TILE
-   classes, are joined in a prefix tree: a tile's sets, in the global order, are stored in a compressed trie; each set
-   walks it once, sharing the overlaps of common parts, and leaves a subtree as soon as overlap so far plus what remains
-   on either side cannot reach what the sizes below it need. Sets that a chain of links already joins are passed over,
-   as only components are asked for; all other pairs are decided, so no link between components is lost.
+3. Each class that shares a prefix shingle is compared with one other, the least signature it shares one with. Large groups
+   of near copies mostly join here, in linear work; a hub's classes are dealt out in shares that each get the hub's set.
+4. What is left are prefix shingles whose classes do not hang together yet. Classes linked by a chain of them form a block.
+   A block that fits a tile is joined whole in one prefix tree; a larger one is not closed over: each of its shingles gets
+   the classes that have it in their prefix, and finds those pairs whose rarest common shingle it is (a subtree that holds a
+   rarer common one is left, its pairs belong there). A hot shingle's classes are cut into tiles, by number and by bytes,
+   that are joined side by side.
+
+A prefix tree holds a tile's sets, in the global order, as a compressed trie; each set walks it once, sharing the overlaps
+of common parts, and leaves a subtree as soon as overlap so far plus what remains on either side cannot reach what the sizes
+below it need. Sets that a chain of links already joins are passed over, as only components are asked for; all other pairs
+are decided, so no link between components is lost.
 
 Hashes: 64-bit set signatures are expected to clash once in about 6e9 distinct texts; a clash of 48-bit shingles
 can miscount a pair's overlap by one with probability near n^2 / 2^48.
 
 Defined results: null, empty and white-space texts have the empty set and are linked with nothing; texts with fewer
 words than a shingle have one shingle; texts of any length are used whole; rows that repeat a doc_id or a text are one
-class; a row with a null doc_id takes the least non-null doc_id of its component, null if there is none.
+class; a row with a null doc_id takes the least non-null doc_id of its component, null if there is none; similarities at the
+threshold exactly link; an empty table gives no rows; other columns keep their values whatever their names (`one_of_each`).
 """
 
 from __future__ import annotations
@@ -38,7 +46,9 @@ from kmeridian.llm.streams import groups
 from kmeridian.session import saved, ship, shuffle_width
 
 WORDS, PERCENT = 5, 80
-TILE = 2000
+TILE = 1000  # classes that are joined in one tree, and its bytes of sets, but for a single larger set
+TILE_BYTES = 24_000_000
+STAR = 500  # classes compared with a hub in one task
 _DOCS, _TOKENS = 60_000, 2_000_000  # what is sorted together at most (one set can be larger); documents have 16-bit numbers
 _PART = 400_000  # tokens of a bucket that are looked at together, about
 _hashed = Memo(xxhash.xxh3_64_intdigest, most=100_000)
@@ -248,9 +258,9 @@ class Trie:
                 work.append((at, to, end, node))
                 at = to
 
-    def links(self, mine: np.ndarray, own: np.ndarray, n: int, open_to: np.ndarray, percent: int) -> list[int]:
+    def links(self, mine: np.ndarray, own: np.ndarray, n: int, open_to: np.ndarray, percent: int, first: int = -1) -> list[int]:
         """Leaves that reach the threshold with a set: mine marks its tokens, own lists them; open_to: prefix sums of the
-        leaves to look at."""
+        leaves to look at; first: leaves with a common token before this one are not looked at."""
         found, total = [], 100 + percent
         work = [(0, 0)]
         while work:
@@ -259,7 +269,10 @@ class Trie:
             if open_to[hi] == open_to[lo]:
                 continue
             if len(part):
-                overlap += int(np.count_nonzero(mine[part]))
+                common = part[mine[part]]
+                if len(common) and not overlap and common[0] < first:
+                    continue
+                overlap += len(common)
                 left = len(own) - int(np.searchsorted(own, part[-1], side="right"))
             else:
                 left = len(own)
@@ -270,19 +283,21 @@ class Trie:
         return found
 
 
-def join_tile(sigs: list[int], sizes: np.ndarray, tokens: list[np.ndarray], dfs: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (between sides, if side is given)."""
+def join_tile(sigs: list[int], sizes: np.ndarray, tokens: list[np.ndarray], dfs: list[np.ndarray], side: np.ndarray | None, percent: int, roots: list[int] | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (between sides, if side is given) that roots does not join yet; with first,
+    of those whose first common token it is."""
     every, df = np.concatenate(tokens), np.concatenate(dfs)
-    distinct, first, inverse, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+    distinct, at, inverse, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
     rank = np.empty(len(distinct), np.int64)
-    rank[np.lexsort((distinct, df[first]))] = np.arange(len(distinct))
+    rank[np.lexsort((distinct, df[at]))] = np.arange(len(distinct))
+    start = -1 if first is None else int(rank[np.searchsorted(distinct, first)])
     shared = times[inverse] > 1
     cuts = np.cumsum([len(t) for t in tokens])[:-1]
     lists = [np.sort(r[s]) for r, s in zip(np.split(rank[inverse], cuts), np.split(shared, cuts), strict=True)]
     trie = Trie(lists, sizes)
     place = np.empty(len(lists), np.int64)
     place[trie.order] = np.arange(len(lists))
-    root = np.arange(len(lists))  # of leaves, by component
+    root = np.arange(len(lists)) if roots is None else np.unique(np.array(roots)[trie.order], return_inverse=True)[1]  # of leaves, by component
     done = np.zeros(len(lists), bool)
     leaf_side = side[trie.order] if side is not None else None
     mine = np.zeros(len(distinct), bool)
@@ -296,7 +311,7 @@ def join_tile(sigs: list[int], sizes: np.ndarray, tokens: list[np.ndarray], dfs:
         if not look.any():
             continue
         mine[lists[q]] = True
-        for other in trie.links(mine, lists[q], int(sizes[q]), np.concatenate(([0], np.cumsum(look))), percent):
+        for other in trie.links(mine, lists[q], int(sizes[q]), np.concatenate(([0], np.cumsum(look))), percent, start):
             if root[other] != root[leaf]:
                 root[root == root[other]] = root[leaf]
                 out.append((sigs[q], sigs[trie.order[other]]))
@@ -304,22 +319,81 @@ def join_tile(sigs: list[int], sizes: np.ndarray, tokens: list[np.ndarray], dfs:
     return out
 
 
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _join(percent: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in groups(batches, ["block", "i", "j"]):
+        sole("tiles")
+        for (whole, key, i, j), t in groups(batches, ["whole", "key", "i", "j"]):
             if t.num_rows < 2:
                 continue
             tokens = [np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()]
             dfs = [np.frombuffer(x, "<i4") for x in t.column("dfs").to_pylist()]
             side = t.column("own").to_numpy() if i != j else None
-            out = join_tile(t.column("sig").to_pylist(), t.column("n").to_numpy(), tokens, dfs, side, percent)
+            out = join_tile(t.column("sig").to_pylist(), t.column("n").to_numpy(), tokens, dfs, side, percent, t.column("root").to_pylist(), None if whole else key)
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield _links(out)
 
     return join
 
 
+def _star(percent: int):
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by hub, share and centre first: links of a share's classes with its hub."""
+        sole("stars")
+        at, centre, size = None, np.zeros(0, np.int64), 0
+        for b in batches:
+            out = []
+            for hub, share, sig, n, tokens in zip(*(b.column(c).to_pylist() for c in ("hub", "share", "sig", "n", "tokens")), strict=True):
+                mine = np.frombuffer(tokens, np.int64)
+                if sig == hub:
+                    at, centre, size = (hub, share), np.sort(mine), n
+                elif at == (hub, share):
+                    overlap = int((centre[np.minimum(np.searchsorted(centre, mine), len(centre) - 1)] == mine).sum())
+                    if (100 + percent) * overlap >= percent * (n + size):
+                        out.append((sig, hub))
+            if out:
+                yield _links(out)
+
+    return star
+
+
+def _stars(alive: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Links of classes with their least neighbour."""
+    width = shuffle_width(alive.sparkSession)
+    of_token = postings.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    hubs = postings.join(of_token, "token").groupBy("sig").agg(F.min("hub").alias("hub")).where("hub < sig")
+    shares = hubs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares"))
+    sets = alive.select("sig", "n", "tokens")
+    around = sets.join(hubs.join(shares, "hub"), "sig").withColumn("share", F.pmod(F.xxhash64("sig"), F.col("shares")).cast("int")).select("hub", "share", "sig", "n", "tokens")
+    centres = sets.join(shares, F.col("sig") == F.col("hub")).select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "sig", "n", "tokens")
+    dealt = around.unionByName(centres).repartition(width, "hub", "share").sortWithinPartitions("hub", "share", "sig")  # hub < sig
+    return dealt.mapInArrow(_star(percent), "a long, b long")
+
+
+def _tiles(alive: DataFrame, postings: DataFrame, joined: DataFrame, tile: int) -> DataFrame:
+    """What is left to join, laid out for _join: whole blocks, and the single shingles of larger ones."""
+    rooted = saved(postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "token", F.coalesce("root", "sig").alias("root")))
+    open_ = rooted.groupBy("token").agg(F.min("sig").alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "hub")
+    left = saved(rooted.join(open_, "token"))
+    blocks = components(left.where("sig <> hub").select("sig", "hub")).select(F.col("node").alias("sig"), F.col("root").alias("block"))
+    roots = left.groupBy("sig").agg(F.min("root").alias("root"))
+    size = F.octet_length("tokens") + F.octet_length("dfs")
+    members = alive.drop("prefix").join(blocks, "sig").join(roots, "sig").withColumn("size", size.cast("long"))
+    sizes = members.groupBy("block").agg(((F.count("*") <= tile) & (F.sum("size") <= TILE_BYTES)).alias("fits"))
+    members = members.join(sizes, "block")
+    whole = members.where("fits").select(F.lit(1).alias("whole"), F.col("block").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), "sig", "n", "root", "tokens", "dfs", F.lit(0).alias("own"))
+    single = members.where("not fits").drop("root").join(left.select("sig", "token", "root"), "sig")
+    cuts = single.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("cuts"))
+    single = single.join(cuts, "token").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    single = single.select(F.lit(0).alias("whole"), F.col("token").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "root", "tokens", "dfs", "own")
+    order = ["whole", "key", "i", "j"]
+    return whole.unionByName(single).repartition(shuffle_width(alive.sparkSession), *order).sortWithinPartitions(*order)
+
+
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sig, n of every document; node, root of every linked class)."""
     spark = docs.sparkSession
@@ -332,16 +406,10 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int =
     sizes = own.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.lit(None).cast("long").alias("token"), F.lit(None).cast("int").alias("df"))
     gathered = shared.where("token is not null").select("sig", "n", "token", "df").unionByName(sizes).repartition(width, "sig").sortWithinPartitions("sig")
     alive = saved(gathered.mapInArrow(_gather(percent), "sig long, n int, prefix array<long>, tokens binary, dfs binary"))
-
     postings = alive.select("sig", F.explode("prefix").alias("token"))
-    hubs = postings.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    blocks = components(postings.join(hubs, "token").where("sig <> hub").select("sig", "hub")).select(F.col("node").alias("sig"), F.col("root").alias("block"))
-    members = alive.drop("prefix").join(blocks, "sig")
-    cuts = blocks.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
-    members = members.join(cuts, "block").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    laid = tiles.select("block", "i", "j", "sig", "n", "tokens", "dfs", "own").repartition(width, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return own, components(saved(laid.mapInArrow(_join(percent), "a long, b long")))  # saved: a task with two kernels would hold two workers
+    stars = saved(_stars(alive, postings, percent))  # saved: a task with two kernels would hold two workers
+    rest = saved(_tiles(alive, postings, components(stars), tile).mapInArrow(_join(percent), "a long, b long"))
+    return own, components(stars.unionByName(rest))
 
 
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -359,11 +427,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: of its rows the one of least doc_id, those without an id last, and of rows of one id the
     least by a hash of id and text. Rows are told apart by that hash, so a repeated doc_id takes no other text with it; of
     rows that repeat doc_id and text, one stays. Texts without words are each their own component."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    own, linked = classes(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    own = own.select(F.col("doc_id").alias("_row"), "sig", "n").distinct()
-    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row")).alias("key"))
-    least = own.where("n > 0").join(ids, "_row").groupBy("sig").agg(F.min("key").alias("key"))
-    of_each = least.join(linked.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("key").alias("key"))
-    stay = of_each.select(F.col("key.row").alias("_row")).unionByName(own.where("n = 0").select("_row"))
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.struct("*").alias("row"))
+    own, linked = classes(keyed.select(F.col("key").alias("doc_id"), "row.text"))
+    own = own.select(F.col("doc_id").alias("key"), "sig", "n").distinct()
+    ids = keyed.select("key", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").cast("long").alias("id"), F.col("key").alias("key")).alias("rank"))
+    least = own.where("n > 0").join(ids, "key").groupBy("sig").agg(F.min("rank").alias("rank"))
+    of_each = least.join(linked.withColumnRenamed("node", "sig"), "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("rank").alias("rank"))
+    stay = of_each.select(F.col("rank.key").alias("key")).unionByName(own.where("n = 0").select("key"))
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL = {
     "op6_mixing": """
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce('s' || source, 't') AS key, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, coalesce('s' || source, 't') AS key, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h,
          coalesce(CAST(doc_id AS VARCHAR), '') AS id, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -99,20 +99,20 @@ t AS (
   SELECT key, source_size, CAST(CASE WHEN done THEN 3 * source_size ELSE w * remaining / sum(w) FILTER (NOT done) OVER () END AS DOUBLE) AS target
   FROM fill WHERE round = 60),
 q AS (
-  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.key ORDER BY h, id ROWS UNBOUNDED PRECEDING) AS served
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.key ORDER BY h, id ROWS UNBOUNDED PRECEDING) AS served, row_number() OVER (PARTITION BY d.key ORDER BY h, id) AS n
   FROM d JOIN t ON d.key = t.key),
 e AS (SELECT *, CAST(epoch * source_size + served AS DOUBLE) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS epoch) WHERE target > 0),
-o AS (SELECT *, sum(size) OVER (ORDER BY finish, key, h, id ROWS UNBOUNDED PRECEDING) AS total FROM e),
-n AS (SELECT key, h, id, count(*) FILTER (total <= (SELECT sum(size) FROM d)) AS times FROM o GROUP BY key, h, id)
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, key, h, id, n ROWS UNBOUNDED PRECEDING) AS total FROM e),
+n AS (SELECT key, n, count(*) FILTER (total <= (SELECT sum(size) FROM d)) AS times FROM o GROUP BY key, n)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken
-FROM q LEFT JOIN n ON q.key = n.key AND q.h = n.h AND q.id = n.id
+FROM q LEFT JOIN n ON q.key = n.key AND q.n = n.n
 """,
     "op8_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, length(replace(role || text, '\', '\\')) + len(regexp_extract_all(role, '<\||</?s>|\[/?INST\]|<SYS>>|</SYS>>|<<SYS>>|<</SYS>>'))
+  SELECT *, length(replace(role || text, '\', '\\')) + len(regexp_extract_all(role, '<\||</?s>|\[/?INST\]|<</?SYS>>'))
          + len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]|<</?SYS>>')) AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

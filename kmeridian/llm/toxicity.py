@@ -8,8 +8,10 @@ model is a short list of slots and weights, of proven size at most `2 ** bits` e
 The fit reads a bounded sample of labelled rows (`max_rows`, chosen by a hash of doc_id); scoring reads every text whole.
 
 Defined results: a null or empty text has only the bias feature and gets its probability; null doc_ids are kept,
-scored and never trained on; labels that are null are not used; repeated rows are scored alike; without any usable
-label every text scores 0.
+scored and never trained on; labels that are null are not used; conflicting labels of an id count as 1, and an id that
+stands on several texts is trained on one of them, so that the sample is bounded in rows; repeated rows are scored alike;
+texts of any length are read whole; without any usable label, or from an empty table, every text scores 0. Other columns stay
+as they are, but for one with the name of the score, which it replaces.
 """
 
 from __future__ import annotations
@@ -96,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, label: str =
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([kept.astype("<u4").tobytes()]), pa.array([w[kept].astype("<f8").tobytes()])], ["slot", "weight"])
 
-    row = sample.mapInArrow(slots, "k long, y int, at binary").repartition(1).mapInArrow(train, "slot binary, weight binary").first()
+    each = sample.mapInArrow(slots, "k long, y int, at binary").groupBy("k").agg(F.min("y").alias("y"), F.min("at").alias("at"))  # a row an id
+    row = each.repartition(1).mapInArrow(train, "slot binary, weight binary").first()
     return (np.frombuffer(row["slot"], "<u4"), np.frombuffer(row["weight"], "<f8")) if row else (np.zeros(0, "<u4"), np.zeros(0))
 
 

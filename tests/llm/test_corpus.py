@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kmeridian.llm import bpe_codec, chat, embedding_join, mixing, ngram_join, quality, token_counts, toxicity
 from kmeridian.llm.components import components
@@ -60,8 +61,41 @@ def test_mixing(spark, odd, none):
         by[source][0] += r["taken"]
         by[source][1] = r["target"]
     assert all(abs(t - want) <= 14 for t, want in by.values())
-    assert mixing.repeated(docs).count() == sum(r["taken"] // r["size"] for r in rows)
-    assert mixing.mixed(odd).count() == len(ODD) and mixing.mixed(none).count() == 0
+    clashing = docs.withColumns({c: F.lit(c) for c in ("key", "h", "id", "rounds", "target", "a.b")})
+    mix = mixing.repeated(clashing)
+    assert mix.columns == clashing.columns and mix.where("key <> 'key' or h <> 'h' or rounds <> 'rounds'").count() == 0
+    assert Counter(r["doc_id"] for r in mix.collect()) == Counter({r["doc_id"]: r["taken"] // r["size"] for r in rows})
+    assert mixing.mixed(odd).count() == len(ODD) and mixing.mixed(none).count() == 0 and mixing.repeated(none).count() == 0
+
+
+def test_mixing_of_rows_without_ids_and_of_equal_rows(spark):
+    rows = [(None, f"w{i} " * 3, "en", "a", 0) for i in range(90)] + [(7, "same text here", "en", "b", 0)] * 90 + [(i, "x y z", "en", "c", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed(docs).collect()
+    taken = defaultdict(int)
+    for r in out:
+        taken[r["target"]] += r["taken"]
+    want = mixing.targets({"sa": 270, "sb": 270, "sc": 270})
+    assert len(out) == 270 and all(abs(t - target) <= 6 for target, t in taken.items()) and set(taken) == set(want.values())
+    by_source = Counter(r["source"] for r in mixing.repeated(docs).collect())
+    assert all(abs(3 * by_source[s] - want["s" + s]) <= 6 for s in "abc")
+
+
+def test_targets_by_rounds():
+    """Against filling all sources that are over their limit at once, round after round."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sizes = {f"s{i}": int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for i in range(int(rng.integers(1, 12)))}
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+        left, open_, want = sum(sizes.values()), set(sizes), {}
+        while open_:
+            total = sum(weight[s] for s in open_)
+            full = {s for s in open_ if weight[s] * left > 3 * sizes[s] * total}
+            for s in full or open_:
+                want[s] = float(3 * sizes[s]) if full else weight[s] * left / total
+            left -= sum(3 * sizes[s] for s in full)
+            open_ = open_ - full if full else set()
+        assert mixing.targets(sizes) == want
 
 
 def test_chat_round_trip(spark):
@@ -70,8 +104,19 @@ def test_chat_round_trip(spark):
         text, mask = chat.render(turns)
         assert chat.parse(text) == turns
         assert [chat.unescape(text[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
-    with pytest.raises(ValueError):
-        chat.canonical({"unknown": 1})
+    for record in ({"unknown": 1}, {"messages": "x"}, {"messages": [None]}, {"messages": ["x"]}, {"messages": [{"role": 1, "content": "x"}]}, {"prompt": ["x"], "response": "y"}, {"prompt": "x", "response": "y", "extra": 1}, []):
+        with pytest.raises(ValueError):
+            chat.canonical(record)
+    long = "[INST]\\" * 40000
+    records = [(1, json.dumps({"messages": [{"role": "human", "content": long}, {"role": "gpt", "content": "g"}]})), (2, '{"a": 1}'), (3, "no json"), (4, None), (5, '{"messages": []}'), (6, '{"conversations": [{"from": "gpt", "value": null}]}'), (None, '"x"')]
+    done = chat.formatted(spark.createDataFrame(records, "`a.b` long, record string"), keep=("a.b",))
+    by = {r["a.b"]: r for r in done.collect()}
+    assert [by[i]["problem"] is None for i in (1, 2, 3, 4, 5, 6, None)] == [True, False, False, True, True, True, False]
+    assert chat.parse(by[1]["formatted"]) == [("human", long), ("gpt", "g")] and by[1]["mask"] == [] and by[4]["formatted"] == by[5]["formatted"] == ""
+    assert chat.parse(by[6]["formatted"]) == [("assistant", "")] and by[2]["formatted"] is None and by[2]["mask"] is None
+    back = {r["a.b"]: r["n_turns"] for r in chat.read_back(done, keep=("a.b",)).collect()}
+    assert back == {1: 2, 2: None, 3: None, 4: 0, 5: 0, 6: 1, None: None}
+    assert chat.formatted(spark.createDataFrame([], "record string")).count() == 0
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (None, None, None, "t")], "conv_id long, turn long, role string, text string")
     out = {r["conv_id"]: r for r in chat.read_back(chat.formatted(chat.records_of(rows), keep=("conv_id",))).collect()}
     assert out[1]["n_turns"] == 3 and out[1]["loss_chars"] == 2
@@ -104,7 +149,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("tile", [2000, 3])
 def test_ngram_join(spark, none, tile, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "STAR", tile)
     monkeypatch.setattr(ngram_join.classes, "__defaults__", (5, 80, tile))
     rng = np.random.default_rng(8)
     rows, common = [], " ".join(f"lic{i}" for i in range(40))
