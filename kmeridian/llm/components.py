@@ -58,16 +58,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the stars still change after most_rounds rounds."""
     ship(links.sparkSession)
     stars = saved(links.toDF("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct())  # a > b
-    before = None
-    for _ in range(most_rounds):
+    state = lambda: tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+    before = state()
+    for _ in range(most_rounds if before[0] else 1):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
         stars = saved(small)
-        after = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
-        if after == before or not after[0]:
+        if (after := state()) == before:
             break
         before = after
     else:

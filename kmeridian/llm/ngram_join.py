@@ -10,10 +10,10 @@ any one global order. The order is by document frequency, then hash, so:
 3. Each class that shares a prefix shingle is compared with one other, the least signature it shares one with. Large groups
    of near copies mostly join here, in linear work; a hub's classes are dealt out in shares that each get the hub's set.
 4. What is left are prefix shingles whose classes do not hang together yet. Classes linked by a chain of them form a block.
-   A block that fits a tile is joined whole in one prefix tree; a larger one is not closed over: each of its shingles gets
-   the classes that have it in their prefix, and finds those pairs whose rarest common shingle it is (a subtree that holds a
-   rarer common one is left, its pairs belong there). A hot shingle's classes are cut into tiles, by number and by bytes,
-   that are joined side by side.
+   A block is joined as it is, cut into tiles by number and bytes, while that sends a class no more often than it has such
+   shingles; a larger one is not closed over: each of its shingles gets the classes that have it in their prefix, in tiles
+   too, and finds those pairs whose rarest common shingle it is (a subtree that holds a rarer common one is left, its pairs
+   belong there). So work follows the shingles that classes share, not the square of what chains of them connect.
 
 A prefix tree holds a tile's sets, in the global order, as a compressed trie; each set walks it once, sharing the overlaps
 of common parts, and leaves a subtree as soon as overlap so far plus what remains on either side cannot reach what the sizes
@@ -380,18 +380,18 @@ def _tiles(alive: DataFrame, postings: DataFrame, joined: DataFrame, tile: int)
     open_ = rooted.groupBy("token").agg(F.min("sig").alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "hub")
     left = saved(rooted.join(open_, "token"))
     blocks = components(left.where("sig <> hub").select("sig", "hub")).select(F.col("node").alias("sig"), F.col("root").alias("block"))
-    roots = left.groupBy("sig").agg(F.min("root").alias("root"))
-    size = F.octet_length("tokens") + F.octet_length("dfs")
-    members = alive.drop("prefix").join(blocks, "sig").join(roots, "sig").withColumn("size", size.cast("long"))
-    sizes = members.groupBy("block").agg(((F.count("*") <= tile) & (F.sum("size") <= TILE_BYTES)).alias("fits"))
-    members = members.join(sizes, "block")
-    whole = members.where("fits").select(F.lit(1).alias("whole"), F.col("block").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), "sig", "n", "root", "tokens", "dfs", F.lit(0).alias("own"))
-    single = members.where("not fits").drop("root").join(left.select("sig", "token", "root"), "sig")
-    cuts = single.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("cuts"))
-    single = single.join(cuts, "token").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    single = single.select(F.lit(0).alias("whole"), F.col("token").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "root", "tokens", "dfs", "own")
+    own = left.groupBy("sig").agg(F.min("root").alias("root"), F.count("*").alias("tokens_open"))
+    members = alive.drop("prefix").join(blocks, "sig").join(own, "sig").withColumn("size", (F.octet_length("tokens") + F.octet_length("dfs")).cast("long"))
+    cut = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("cuts")
+    plans = members.groupBy("block").agg(cut, (F.sum("tokens_open") / F.count("*")).alias("each"))  # rows sent a class: cuts, or one for each open token
+    members = members.join(plans, "block")
+    whole = members.where("cuts <= each").select(F.lit(1).alias("whole"), F.col("block").alias("key"), "cuts", "sig", "n", "root", "tokens", "dfs")
+    single = members.where("cuts > each").select("sig", "n", "size", "tokens", "dfs").join(left.select("sig", "token", "root"), "sig")
+    single = single.join(single.groupBy("token").agg(cut), "token").select(F.lit(0).alias("whole"), F.col("token").alias("key"), "cuts", "sig", "n", "root", "tokens", "dfs")
+    dealt = whole.unionByName(single).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    laid = dealt.select("whole", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "root", "tokens", "dfs", "own")
     order = ["whole", "key", "i", "j"]
-    return whole.unionByName(single).repartition(shuffle_width(alive.sparkSession), *order).sortWithinPartitions(*order)
+    return laid.repartition(shuffle_width(alive.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
