@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmeridian.llm.bpe import Memo, sole
-from kmeridian.llm.components import components
+from kmeridian.llm.components import components, named_roots
 from kmeridian.llm.streams import groups
 from kmeridian.session import saved, ship, shuffle_width
 
@@ -415,10 +415,9 @@ def classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int =
 def components_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     own, linked = classes(docs, k, percent)
-    least = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(linked.withColumnRenamed("node", "sig"), "sig")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = least.join(rooted.select("sig", "root"), "sig", "left").join(of_root, "root", "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "least").alias("component"))
+    least = own.where("n > 0").groupBy(F.col("sig").alias("key")).agg(F.min("doc_id").alias("least"))
+    of_root = named_roots(least.join(linked.withColumnRenamed("node", "key"), "key"), "least")
+    named = least.join(of_root, "key", "left").select(F.col("key").alias("_sig"), F.coalesce("component", "least").alias("component"))
     joined = own.join(named, (F.col("sig") == F.col("_sig")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
