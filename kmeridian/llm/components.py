@@ -75,9 +75,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def named_roots(rooted: DataFrame, value: str, shares: int = 32) -> DataFrame:
+def named_roots(rooted: DataFrame, value: str, shares: int = 16) -> DataFrame:
     """rooted (key, root, value): key, component, the least value of its root. A root's keys are dealt over shares, so that
-    those of a large component meet in no single task."""
+    those of a large component meet in no single task; least values, one for each share, are not broadcast."""
     least = rooted.groupBy("root").agg(F.min(value).alias("component"))
     dealt = least.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    return rooted.select("key", "root", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int").alias("share")).join(dealt, ["root", "share"]).select("key", "component")
+    return rooted.select("key", "root", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int").alias("share")).join(dealt.hint("merge"), ["root", "share"]).select("key", "component")
