@@ -170,6 +170,14 @@ def reverse_complements(bp: np.ndarray, k: int) -> np.ndarray:
     return x >> np.uint64(64 - 2 * k)
 
 
+def gather(bp: np.ndarray, positions: Sequence[int]) -> np.ndarray:
+    """The base pairs of bits at positions, lowest position lowest: the numpy twin of lsh_bucket and rest."""
+    out = np.zeros(len(bp), np.uint64)
+    for i, p in enumerate(sorted(positions)):
+        out |= ((bp >> np.uint64(2 * p)) & np.uint64(3)) << np.uint64(2 * i)
+    return out
+
+
 def random_positions(k: int, h: int, seed: int = 0) -> tuple[list[int], list[int]]:
     """(h hashed positions, descending; the others, ascending)."""
     ppos = sorted(np.random.default_rng(seed).permutation(k)[:h].tolist(), reverse=True)

@@ -183,6 +183,24 @@ def fit_gamma(x: np.ndarray, most: int = 200) -> Gamma:
     return Gamma(float(shape), float(scale))
 
 
+def score_samples(x: float, samples: np.ndarray) -> tuple[float, float]:
+    """(cumulative probability of x, median) under the Gamma law fitted to samples, both NaN if x or the fit is unusable; the
+    median is NaN as well where half the mass lies above 1 - 1e-5 or it is not above EPS."""
+    if not math.isfinite(x) or len(samples) < 8:
+        return math.nan, math.nan
+    law = fit_gamma(samples)
+    if not (math.isfinite(law.shape) and math.isfinite(law.scale) and law.shape > 0 and law.scale > 0):
+        return math.nan, math.nan
+    median = law.median()
+    return law.cdf(x), median if math.isfinite(median) and median > EPS else math.nan
+
+
+def signs(thresholds: list[float]) -> tuple[int, int]:
+    """Bits of the positive and of the negative thresholds, the first lowest."""
+    positive = sum(1 << i for i, t in enumerate(thresholds) if t >= 0)
+    return positive, (1 << len(thresholds)) - 1 - positive
+
+
 def metropolis_hastings(start: float, density, seed: int = 0, keep: int = 20, burn_in: int = 100, step: float = 0.05) -> np.ndarray:
     """Draws from a density on (EPS, 1 - EPS) by reflected normal steps."""
     rng = np.random.default_rng(seed)

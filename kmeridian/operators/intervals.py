@@ -83,22 +83,28 @@ def flipped(C: np.ndarray, threshold: float, distance: float) -> np.ndarray:
     return -C if not math.isnan(distance) and threshold > distance else C
 
 
+def gaps(found: list[tuple[int, int, int | None]], n: int) -> list[tuple[int, int]]:
+    """What ranges (first bin, bin after the last) leave of 1..n, walking them in the order given: (first, last) bins."""
+    at, out = 1, []
+    for a, b, _ in found:
+        if a > at:
+            out.append((at, a - 1))
+        at = max(at, b)
+    return out + ([(at, n)] if at <= n else [])
+
+
 def ordered(walks: list[np.ndarray], spreads: list[np.ndarray], order: list[int], tau: int, chisq: float, by_position: bool = False) -> list[tuple[int, int, int | None]]:
     """(first bin, bin after the last, threshold): each threshold in order takes intervals from the gaps that earlier
-    ones left. Rows stand by threshold rank and position, or by position. Without any interval: the whole range."""
+    ones left. Rows stand by threshold rank and position, and gaps are walked in that order; by_position: both by position.
+    Without any interval: the whole range."""
     n = len(walks[0]) - 1
     found: list[tuple[int, int, int | None]] = []
     for t in order:
-        edges = sorted((a, b) for a, b, _ in found)
-        at, new = 1, []
-        for a, b in [*edges, (n + 1, n + 1)]:
-            if a - 1 >= at:
-                new += merged(maximal(walks[t], tau, at, a - 1), walks[t], spreads[t], chisq)
-            at = max(at, b)
-        found += [(a, b + 1, t) for a, b in new]
-    if not found:
-        return [(1, n + 1, None)]
-    return sorted(found, key=lambda x: x[:2]) if by_position else found
+        new = [x for a, b in gaps(found, n) if b >= a + tau for x in maximal(walks[t], tau, a, b)]
+        found += [(a, b + 1, t) for a, b in merged(new, walks[t], spreads[t], chisq)]
+        if by_position:
+            found.sort(key=lambda x: x[:2])
+    return found or [(1, n + 1, None)]
 
 
 def coordinates(first: int, after: int, shift: int, enmers: int, k: int, last: bool) -> tuple[int, int]:

@@ -60,9 +60,24 @@ def _windows(pos: np.ndarray, bp: np.ndarray, k: int, w: int, length: int) -> tu
     return (np.concatenate(ends), np.concatenate(best)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def minimizers(seqs: DataFrame, k: int, w: int, keep: tuple[str, ...] = ("query_id",), seq: str = "seq") -> DataFrame:
+def _circular(pos: np.ndarray, bp: np.ndarray, k: int, w: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, pos, bp) as a circular buffer gives them that breaks do not empty and that begins with zeros: a window ends where
+    the last w bases have no break, or the sequence ends; its candidates are the last w - k + 1 k-mers there were, wherever.
+    A zero stands for a k-mer of A alone, at position -1."""
+    n, span = len(pos), w - k + 1
+    if not n:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    all_bp, all_pos = np.concatenate((np.zeros(span, np.uint64), bp)), np.concatenate((np.full(span, -1), pos))
+    z = np.concatenate((np.zeros(span, np.uint64), mixed(bp)))
+    run = np.arange(n) - np.maximum.accumulate(np.where(np.diff(pos, prepend=-9) != 1, np.arange(n), 0)) + k  # bases since the last break
+    at = np.flatnonzero((run >= w) | (pos + k == length))
+    best = at + 1 + np.lib.stride_tricks.sliding_window_view(z, span)[at + 1].argmin(axis=1)
+    return pos[at] + k - 1, all_pos[best], all_bp[best]
+
+
+def minimizers(seqs: DataFrame, k: int, w: int, keep: tuple[str, ...] = ("query_id",), seq: str = "seq", compat: bool = False) -> DataFrame:
     """keep, end (of the window), pos and bp: the k-mer of least mixed value (unsigned) in every window of w bases.
-    Sequences shorter than w give none."""
+    Sequences shorter than w give none. compat: windows as `_circular` has them, which differ around breaks."""
     ship(seqs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +85,13 @@ def minimizers(seqs: DataFrame, k: int, w: int, keep: tuple[str, ...] = ("query_
             for i, s in enumerate(b.column(seq).to_pylist()):
                 if s and len(s) >= w:
                     pos, bp = encode_all(s, k)
-                    end, best = _windows(pos, bp, k, w, len(s))
+                    if compat:
+                        end, pos, bp = _circular(pos, bp, k, w, len(s))
+                    else:
+                        end, best = _windows(pos, bp, k, w, len(s))
+                        pos, bp = pos[best], bp[best]
                     if len(end):
-                        yield _emit(b, keep, [i] * len(end), [end, pos[best], bp[best].view(np.int64)], ["end", "pos", "bp"])
+                        yield _emit(b, keep, [i] * len(end), [end, pos, bp.view(np.int64)], ["end", "pos", "bp"])
 
     return seqs.select(*keep, seq).mapInArrow(run, f"{_typed(seqs, keep)}end long, pos long, bp long")
 

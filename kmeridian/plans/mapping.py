@@ -1,27 +1,36 @@
 """Mapping queries to sketches: LSH join, histograms, distances, intervals, significance.
 
-Relational steps stay in DataFrames: k-mer join and histograms (rid, query, strand, bin), sums, windows. One Arrow
-kernel per (rid, query) fits distances and extracts intervals from that query's sparse histogram.
+Sketches that are small together, by their counts, are broadcast; a kernel then searches and bins each query sequence where it
+is, without a shuffle. Larger ones are joined: query k-mers are encoded once, distinct pairs of bucket and rest are joined to
+all such sketches at once. Sums, ranks and tests stay in DataFrames.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kmeridian.functions import encode as E
-from kmeridian.functions.model import Model, fit_gamma, valid_distance
+from kmeridian.functions.model import Model, score_samples, valid_distance
 from kmeridian.operators import intervals as X
 from kmeridian.operators.kmers import kmers
+from kmeridian.operators.ranks import q_values
 from kmeridian.plans.sketching import compact, csr, partial_rho
-from kmeridian.session import saved, ship
+from kmeridian.session import saved, ship, shuffle_width
 
+#: k-mers of sketches that are broadcast together, at most: 16 bytes each.
+KERNEL_ROWS = 2_000_000
 COLUMNS = ("QUERY_ID", "SEQ_LEN", "INTERVAL_START", "INTERVAL_END", "STRAND", "IS_RC", "REF_ID", "DIST", "MASK", "D_INTERVAL", "DIST_CONTIG", "STRAND_DIFF", "DIST_GENOME", "PERCENTILE", "FOLD", "QVALUE")
 
 
@@ -53,55 +62,133 @@ class MapParams:
         return self.enum_only and not self.sample_size
 
 
-def strands(queries: DataFrame, k: int) -> DataFrame:
-    """query_id, pos, is_rc, bp of both strands' k-mers."""
+def strands(queries: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+    """query_id, pos, is_rc, bp of both strands' k-mers; canonical: the larger of the two, as strand 0."""
+    if canonical:
+        return kmers(queries, k).select("query_id", "pos", F.lit(0).alias("is_rc"), F.greatest("bp", "rc").alias("bp"))
     both = F.explode(F.array(F.struct(F.lit(0).alias("is_rc"), F.col("bp")), F.struct(F.lit(1).alias("is_rc"), F.col("rc").alias("bp")))).alias("s")
     return kmers(queries, k).select("query_id", "pos", both).select("query_id", "pos", "s.is_rc", "s.bp")
 
 
-def least_distances(queries: DataFrame, meta: DataFrame, rows: DataFrame, kernel_rows: int = 0) -> DataFrame:
-    """rid, query_id, is_rc, pos, hd: the least Hamming distance in a k-mer's bucket, null for an empty bucket. k-mers
-    outside a sketch's partition give no row. Distances are found once for each distinct (bucket, rest). With
-    kernel_rows, sketches of at most that many k-mers are broadcast and searched by a numpy kernel instead."""
-    parts = []
-    for s in meta.collect():  # a row per sketch
-        base = strands(queries, s["k"]).withColumns({"rid": F.lit(s["rid"]), "rix": compact(E.lsh_bucket(F.col("bp"), s["ppos"]), s["m"], s["r"], s["frac"]), "enc": E.rest(F.col("bp"), s["npos"])}).where("rix is not null").drop("bp")
-        table = csr(rows, s["rid"], kernel_rows) if kernel_rows else None
-        if table is not None:
-            parts.append(_searched(base, table))
-            continue
-        own = rows.where(F.col("rid") == s["rid"]).select(F.col("rix").alias("_rix"), F.col("enc").alias("_enc"))
-        pairs = base.select("rix", "enc").distinct().join(own, F.col("rix") == F.col("_rix"))
-        least = pairs.groupBy("rix", "enc").agg(F.min(E.hamming(F.col("enc"), F.col("_enc"))).cast("int").alias("hd"))
-        parts.append(base.join(least, ["rix", "enc"], "left").select("rid", "query_id", "is_rc", "pos", "hd"))
+def _split(meta: DataFrame, rows: DataFrame, kernel_rows: int) -> tuple[list[dict], list[dict]]:
+    """(sketches to be broadcast, with their sorted k-mers; the others), each as its row of meta."""
+    tables = csr(rows, kernel_rows) if kernel_rows else {}
+    every = [r.asDict() for r in meta.collect()]  # a row a sketch
+    return [s | {"rix": tables[s["rid"]][0], "enc": tables[s["rid"]][1]} for s in every if s["rid"] in tables], [s for s in every if s["rid"] not in tables]
+
+
+def _search(s: dict, bp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which k-mers lie in the sketch's partition, their least distances, 99 for an empty bucket)."""
+    bucket = E.gather(bp, s["ppos"]).astype(np.int64)
+    over = bucket % s["m"]
+    inside = np.flatnonzero(over <= s["r"] if s["frac"] else over == s["r"])
+    row = bucket[inside] // s["m"] * (s["r"] + 1) + over[inside] if s["frac"] else bucket[inside] // s["m"]
+    own = E.gather(bp[inside], s["npos"])
+    lo, hi = np.searchsorted(s["rix"], row, "left"), np.searchsorted(s["rix"], row, "right")
+    best, enc = np.full(len(row), 99, np.int64), s["enc"].view(np.uint64)
+    at = np.flatnonzero(lo < hi)
+    step = 0
+    while len(at):
+        d = own[at] ^ enc[lo[at] + step]
+        best[at] = np.minimum(best[at], np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(E.EVEN)))
+        step += 1
+        at = at[(lo[at] + step < hi[at]) & (best[at] > 0)]
+    return inside, best
+
+
+def _both(seq: str | None, k: int, canonical: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(positions, bp by strand) of a sequence's k-mers."""
+    pos, bp = E.encode_all(seq, k)
+    rc = E.reverse_complements(bp, k)
+    return pos, [np.maximum(bp, rc), bp[:0]] if canonical else [bp, rc]
+
+
+def _each(seq: str | None, sketches: list[dict], canonical: bool) -> Iterator[tuple[dict, int, np.ndarray, np.ndarray]]:
+    """(sketch, strand, positions in its partition, least distances) of a sequence."""
+    encoded: dict[int, tuple] = {}
+    for s in sketches:
+        if s["k"] not in encoded:
+            encoded[s["k"]] = _both(seq, s["k"], canonical)
+        pos, strands_ = encoded[s["k"]]
+        for is_rc, bp in enumerate(strands_):
+            inside, hd = _search(s, bp)
+            yield s, is_rc, pos[inside], hd
+
+
+def _joined(queries: DataFrame, sketches: list[dict], rows: DataFrame, canonical: bool) -> list[DataFrame]:
+    """Least distances by joins, a table for each way to hash."""
+    alike: dict[tuple, list[str]] = {}
+    for s in sketches:
+        alike.setdefault((s["k"], tuple(s["ppos"]), tuple(s["npos"]), s["m"], s["r"], s["frac"]), []).append(s["rid"])
+    out = []
+    for (k, ppos, npos, m, r, frac), rids in alike.items():
+        keyed = strands(queries, k, canonical).withColumns({"rix": compact(E.lsh_bucket(F.col("bp"), ppos), m, r, frac), "enc": E.rest(F.col("bp"), npos)})
+        keyed = saved(keyed.where("rix is not null").drop("bp"))  # else the kernel ran for each side of the join
+        own = rows.where(F.col("rid").isin(rids)).select("rid", F.col("rix").alias("_rix"), F.col("enc").alias("_enc"))
+        pairs = keyed.select("rix", "enc").distinct().join(own, F.col("rix") == F.col("_rix"))
+        least = pairs.groupBy("rid", "rix", "enc").agg(F.min(E.hamming(F.col("enc"), F.col("_enc"))).cast("int").alias("hd"))
+        each = keyed.withColumn("rid", F.explode(F.array(*map(F.lit, rids))))
+        out.append(each.join(least, ["rid", "rix", "enc"], "left").select("rid", "query_id", "is_rc", "pos", "hd"))
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _searched(base: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    import pyarrow as pa
-
-    shared = base.sparkSession.sparkContext.broadcast(table)  # its size was checked
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rix, enc = shared.value
-        for b in batches:
-            q, e = b.column("rix").to_numpy(), b.column("enc").to_numpy()
-            lo, hi = np.searchsorted(rix, q, "left"), np.searchsorted(rix, q, "right")
-            best = np.full(len(q), 99, np.int64)
-            for step in range(int((hi - lo).max(initial=0))):
-                at = np.flatnonzero((lo + step < hi) & (best > 0))
-                if not len(at):
-                    break
-                d = (e[at] ^ enc[lo[at] + step]).view(np.uint64)
-                d = (d | (d >> np.uint64(1))) & np.uint64(E.EVEN)
-                best[at] = np.minimum(best[at], np.bitwise_count(d))
-            hd = pa.array(np.where(hi > lo, best, 0).astype(np.int32), mask=hi == lo)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rid", "query_id", "is_rc", "pos")), hd], ["rid", "query_id", "is_rc", "pos", "hd"])
-
-    return base.mapInArrow(run, f"rid string, query_id {dict(base.dtypes)['query_id']}, is_rc int, pos long, hd int")
+def least_distances(queries: DataFrame, meta: DataFrame, rows: DataFrame, kernel_rows: int = KERNEL_ROWS, canonical: bool = False) -> DataFrame:
+    """rid, query_id, is_rc, pos, hd: the least Hamming distance in a k-mer's bucket, null for an empty bucket. k-mers
+    outside a sketch's partition give no row. Sketches of at most kernel_rows k-mers together are searched by the kernel."""
+    small, large = _split(meta, rows, kernel_rows)
+    parts = _joined(queries, large, rows, canonical)
+    if small or not large:
+        shared = queries.sparkSession.sparkContext.broadcast(small)  # its size was checked
+        ship(queries.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, seq in enumerate(b.column("seq").to_pylist()):
+                    for s, is_rc, pos, hd in _each(seq, shared.value, canonical):
+                        n = len(pos)
+                        one = b.column("query_id").take(pa.array(np.full(n, i)))
+                        yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * n, pa.string()), one, pa.array(np.full(n, is_rc, np.int32)), pa.array(pos.astype(np.int64)), pa.array(hd.astype(np.int32), mask=hd == 99)], ["rid", "query_id", "is_rc", "pos", "hd"])
+
+        parts.append(queries.select("query_id", "seq").mapInArrow(run, f"rid string, query_id {dict(queries.dtypes)['query_id']}, is_rc int, pos long, hd int"))
+    return _union(parts)
+
+
+def _binned(pos: np.ndarray, hd: np.ndarray, hdist: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bins that have k-mers, their counts by distance, misses last)."""
+    bins, at = np.unique(pos >> shift, return_inverse=True)
+    counts = np.zeros((len(bins), hdist + 2), np.int64)
+    np.add.at(counts, (at, np.minimum(hd, hdist + 1)), 1)
+    return bins, counts
+
+
+def query_histograms(queries: DataFrame, meta: DataFrame, rows: DataFrame, hdist: int = 4, bin_shift: int = 0, kernel_rows: int = KERNEL_ROWS, canonical: bool = False) -> DataFrame:
+    """histograms of least_distances; the kernel counts a sequence's bins itself."""
+    small, large = _split(meta, rows, kernel_rows)
+    names = [*(f"h{d}" for d in range(hdist + 1)), "miss"]
+    parts = [histograms(d, hdist, bin_shift) for d in _joined(queries, large, rows, canonical)]
+    if small or not large:
+        shared = queries.sparkSession.sparkContext.broadcast(small)  # its size was checked
+        ship(queries.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, seq in enumerate(b.column("seq").to_pylist()):
+                    for s, is_rc, pos, hd in _each(seq, shared.value, canonical):
+                        bins, counts = _binned(pos, hd, hdist, bin_shift)
+                        n = len(bins)
+                        one = b.column("query_id").take(pa.array(np.full(n, i)))
+                        yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * n, pa.string()), one, pa.array(np.full(n, is_rc, np.int32)), pa.array(bins.astype(np.int64)), *map(pa.array, np.ascontiguousarray(counts.T))], ["rid", "query_id", "is_rc", "bin", *names])
+
+        counted = queries.select("query_id", "seq").mapInArrow(run, f"rid string, query_id {dict(queries.dtypes)['query_id']}, is_rc int, bin long, " + ", ".join(f"{n} long" for n in names))
+        parts.append(counted.groupBy("rid", "query_id", "is_rc", "bin").agg(*(F.sum(n).alias(n) for n in names)))  # repeated ids count together
+    return _union(parts)
 
 
 def histograms(distances: DataFrame, hdist: int = 4, bin_shift: int = 0) -> DataFrame:
@@ -118,9 +205,39 @@ def dense(bins: DataFrame, spans: DataFrame, keys: list[str], values: list[str])
 
 def scanned(bins: DataFrame, keys: list[str], value: str) -> DataFrame:
     """bins with c (inclusive sum), h (maximum of c before) and l (minimum of c from here on)."""
-    up = Window.partitionBy(*keys).orderBy("bin")
+    up, down = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys).orderBy(F.col("bin").desc())
     out = bins.withColumn("c", F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumns({"h": F.max("c").over(up.rowsBetween(Window.unboundedPreceding, -1)), "l": F.min("c").over(up.rowsBetween(0, Window.unboundedFollowing))})
+    out = out.withColumn("h", F.max("c").over(up.rowsBetween(Window.unboundedPreceding, -1)))
+    return out.withColumn("l", F.min("c").over(down.rowsBetween(Window.unboundedPreceding, 0)))  # from the end: one step a row
+
+
+def prefix_histograms(bins: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, bin (0 to nbins) and the sums of values over all bins before it; bins must be dense."""
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = bins.select(*keys, (F.col("bin") + 1).alias("bin"), *(F.sum(v).over(up).alias(v) for v in values))
+    return sums.unionByName(bins.select(*keys, F.lit(0).cast("long").alias("bin"), *(F.lit(0).cast("long").alias(v) for v in values)).distinct())
+
+
+def sliced(prefix: DataFrame, ranges: DataFrame, keys: list[str], values: list[str], shift: Column | int, nmers: Column) -> DataFrame:
+    """ranges (keys, a, b: bins from a to before b) with their histograms, t (all hits) and u: every position of the range
+    that is no hit, breaks and k-mers outside the partition included."""
+    left = prefix.select(*keys, F.col("bin").alias("a"), *(F.col(v).alias(f"_{v}") for v in values))
+    right = prefix.select(*keys, F.col("bin").alias("b"), *values)
+    both = ranges.join(left, [*keys, "a"]).join(right, [*keys, "b"]).withColumns({v: F.col(v) - F.col(f"_{v}") for v in values}).drop(*(f"_{v}" for v in values))
+    size = F.lit(1).cast("long") if isinstance(shift, int) and not shift else F.pow(F.lit(2), shift if isinstance(shift, Column) else F.lit(shift)).cast("long")
+    t = sum((F.col(v) for v in values), F.lit(0))
+    return both.withColumn("t", t).withColumn("u", F.least(F.col("b") * size, nmers) - F.least(F.col("a") * size, nmers) - F.col("t"))
+
+
+def usable_nulls(records: DataFrame, pool: DataFrame) -> DataFrame:
+    """records (rid, query_id, a, b) with n_usable: how many windows of their sketch's pool (rid, query_id, a, b) do not overlap
+    them on their own query. Own windows alone are compared; all others are counted by sketch."""
+    all_ = pool.groupBy("rid").agg(F.count("*").alias("_all"))
+    at = records.withColumn("_at", F.monotonically_increasing_id())
+    own = pool.select("rid", F.col("query_id").alias("_q"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    same = (at["rid"] == own["rid"]) & at["query_id"].eqNullSafe(own["_q"]) & overlaps(F.col("a"), F.col("b"), F.col("_a"), F.col("_b"))
+    met = at.join(own, same, "left").groupBy(*(at[c] for c in records.columns), "_at").agg(F.count("_a").alias("_met"))
+    return met.join(all_, "rid", "left").select(*records.columns, (F.coalesce("_all", F.lit(0)) - F.col("_met")).alias("n_usable"))
 
 
 def strand_diff(fw: Column, rc: Column) -> Column:
@@ -137,17 +254,6 @@ def overlaps(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
     return (a1 < b2) & (a2 < b1)
 
 
-def q_values(tests: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg q-values of the finite p-values of each group; others keep NaN. Large groups are ranked by a
-    range-partitioned sort within the window's own exchange."""
-    finite = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
-    rest = tests.where(F.col(p).isNull() | F.isnan(p)).withColumn("q", F.lit(float("nan")))
-    up = Window.partitionBy(*keys).orderBy(p)
-    ranked = finite.withColumns({"_m": F.count("*").over(Window.partitionBy(*keys)), "_r": F.row_number().over(up)})
-    q = F.min(F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_r"))).over(Window.partitionBy(*keys).orderBy(F.col("_r")).rowsBetween(0, Window.unboundedFollowing))
-    return ranked.withColumn("q", q).drop("_m", "_r").unionByName(rest)
-
-
 def _record(kind: str) -> str:
     return f"rid string, query_id {kind}, seq_len long, is_rc int, first long, after long, start long, end long, th int, d double, d_contig double, d_diff double, low double, high double, emit int, closer boolean, hist array<long>, misses double, pool array<struct<a:long,b:long,d:double>>"
 
@@ -169,25 +275,32 @@ def _slice(s: dict, a: int, b: int, shift: int, nmers: int) -> tuple[np.ndarray,
     return v, float(min(b << shift, nmers) - min(a << shift, nmers) - v.sum())
 
 
+def _grown(prefix: np.ndarray, a: int, win: int) -> tuple[int, int] | None:
+    """A window of bins from a on, widened while it has no hit: right and left in turn, the other side where one is at its
+    end, to ten windows or the whole query at most. None if there is still no hit."""
+    n = len(prefix) - 1
+    b, right, most = a + win, True, min(10 * win, n)
+    while (empty := (prefix[b] - prefix[a]).sum() == 0) and b - a < most:
+        more = min(win, most - (b - a))
+        if b + more <= n and (right or a < more):
+            b += more
+        elif a >= more:
+            a -= more
+        else:
+            break
+        right = not right
+    return None if empty else (a, b)
+
+
 def _null_pool(s: dict, nbins: int, tau: int, nmers: int, m: Model, p: MapParams, rid: str, query) -> list[dict]:
-    """Windows drawn with replacement, widened right and left in turn while they have no hit. The draw depends on seed,
-    sketch and query alone."""
+    """Windows drawn with replacement. The draw depends on seed, sketch and query alone."""
     win = tau + 1
     n = min(p.sample_size, nbins // win)
     if n < 1:
         return []
-    seed = int.from_bytes(__import__("hashlib").sha256(f"{p.seed}|{rid}|{query}".encode()).digest()[:8], "little")
-    windows = []
-    for a in np.random.default_rng(seed).integers(0, nbins - win + 1, n).tolist():
-        b, right = a + win, True
-        while (s["prefix"][b] - s["prefix"][a]).sum() == 0 and b - a < min(10 * win, nbins):
-            if (right and b < nbins) or a == 0:
-                b = min(nbins, b + win)
-            else:
-                a = max(0, a - win)
-            right = not right
-        if (s["prefix"][b] - s["prefix"][a]).sum():
-            windows.append((a, b))
+    seed = int.from_bytes(hashlib.sha256(f"{p.seed}|{rid}|{query}".encode()).digest()[:8], "little")
+    drawn = np.random.default_rng(seed).integers(0, nbins - win + 1, n).tolist()
+    windows = [w for a in drawn if (w := _grown(s["prefix"], a, win))]
     d, v, u = _distances(s, windows, nmers, m, p.bin_shift)
     return [{"a": a, "b": b, "d": float(x)} for (a, b), x, y, z in zip(windows, d, v, u, strict=True) if not math.isnan(x) and math.isfinite(m.fisher(x, y, z))]
 
@@ -200,34 +313,20 @@ def _distances(s: dict, ranges: list[tuple[int, int]], nmers: int, m: Model, shi
     return valid_distance(m.mle(np.array(v), np.array(u))), np.array(v), np.array(u)
 
 
-def _mapped(p: MapParams, kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                out += _records(row, p)
-            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in _record(kind).split(", ") if ":" not in f or "pool" in f])
-
-    return run
-
-
-def _records(row, p: MapParams) -> list[tuple]:
-    m = Model(row.k, row.h, row.rho, p.hdist)
-    nmers = row.seq_len - row.k + 1
+def _records(rid: str, query, seq_len: int, k: int, h: int, rho: float, strands_: list[tuple[np.ndarray, np.ndarray]], p: MapParams) -> list[tuple]:
+    """The records of a query and a sketch, from its bins and their counts on both strands."""
+    m = Model(k, h, rho, p.hdist)
+    nmers = seq_len - k + 1
     nbins = -(-nmers // (1 << p.bin_shift))
     tau = min(p.tau_bin, nbins) - 1
     both = []
-    for strand in (0, 1):
-        hist, miss = np.zeros((nbins, p.hdist + 1), np.int64), np.zeros(nbins, np.int64)
-        for x in row.bins:
-            if x["is_rc"] == strand:
-                hist[x["bin"]] = x["hits"]
-                miss[x["bin"]] = x["miss"]
-        both.append(_strand(hist, miss, nmers, m, p))
-    fw, rc = both[0]["d"], both[1]["d"]
-    diff = fw - rc
+    for bins, counts in strands_:
+        hist = np.zeros((nbins, p.hdist + 2), np.int64)
+        np.add.at(hist, bins, counts)
+        both.append(_strand(hist[:, :-1], hist[:, -1], nmers, m, p))
+    diff = both[0]["d"] - both[1]["d"]
     closer = 1 if diff > 0 else 0
-    pool = _null_pool(both[closer], nbins, tau, nmers, m, p, row.rid, row.query_id) if p.sample_size else []
+    pool = _null_pool(both[closer], nbins, tau, nmers, m, p, rid, query) if p.sample_size else []
     out = []
     for strand, s in enumerate(both):
         walks = [X.flipped(c, t, s["d"]) for c, t in zip(s["C"], p.thresholds, strict=True)]
@@ -236,17 +335,90 @@ def _records(row, p: MapParams) -> list[tuple]:
             found = [(a, b + 1, t) for t in range(len(p.thresholds)) for a, b in X.merged(X.maximal(walks[t], tau), walks[t], s["S"][t], p.chisq)]
         else:
             found = X.ordered(walks, s["S"], order, tau, p.chisq, p.by_position)
-        fitted = [math.nan] * len(found) if p.coordinates_only else _distances(s, [(a - 1, b - 1) for a, b, _ in found], nmers, m, p.bin_shift)[0].tolist()
+        bare = p.coordinates_only
+        fitted = [math.nan] * len(found) if bare else _distances(s, [(a - 1, b - 1) for a, b, _ in found], nmers, m, p.bin_shift)[0].tolist()
         for emit, ((a, b, t), d) in enumerate(zip(found, fitted, strict=True)):
-            last = b == nbins + 1
-            start, end = X.coordinates(a, b, p.bin_shift, nmers, row.k, last)
+            start, end = X.coordinates(a, b, p.bin_shift, nmers, k, b == nbins + 1)
             low, high = X.distance_bin(list(p.thresholds), t, s["d"], d)
             lead = strand == closer and emit == 0
-            bare = p.coordinates_only
-            out.append((row.rid, row.query_id, row.seq_len, strand, a, b, start, end, t, d, math.nan if bare else s["d"], math.nan if bare else diff, low, high, emit, strand == closer, both[closer]["v"].tolist() if lead else None, both[closer]["u"] if lead else math.nan, pool if lead else []))
+            out.append((rid, query, seq_len, strand, a, b, start, end, t, d, math.nan if bare else s["d"], math.nan if bare else diff, low, high, emit, strand == closer, both[closer]["v"].tolist() if lead else None, both[closer]["u"] if lead else math.nan, pool if lead else []))
     return out
 
 
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, of batches sorted by them."""
+    held, last = [], None
+    for b in batches:
+        at = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+        starts = [i for i in range(len(at)) if at[i] != (at[i - 1] if i else last)]
+        for i, j in zip([0, *starts] if starts[:1] != [0] else starts, [*(starts if starts[:1] != [0] else starts[1:]), len(at)], strict=True):
+            if i in starts and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if j > i:
+                held.append(b.slice(i, j - i))
+        last = at[-1] if at else last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _kernel_records(queries: DataFrame, small: list[dict], p: MapParams, kind: str, canonical: bool) -> DataFrame:
+    """Records of sketches that are broadcast, sequence by sequence."""
+    schema = _record(kind)
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    shared = queries.sparkSession.sparkContext.broadcast(small)  # its size was checked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for query, seq in zip(b.column("query_id").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                n = len(seq or "")
+                open_ = [s for s in shared.value if n >= s["k"] and -(-(n - s["k"] + 1) // (1 << p.bin_shift)) >= 2]
+                found = [(s, _binned(pos, hd, p.hdist, p.bin_shift)) for s, _, pos, hd in _each(seq, open_, canonical)]
+                for (s, fw), (_, rc) in zip(found[::2], found[1::2], strict=True):
+                    if rows := _records(s["rid"], query, n, s["k"], s["h"], s["rho"], [fw, rc], p):
+                        yield _as_batch(rows, shape)
+
+    return queries.select("query_id", "seq").mapInArrow(run, schema)
+
+
+def _joined_records(queries: DataFrame, large: list[dict], rows: DataFrame, p: MapParams, kind: str, canonical: bool) -> DataFrame:
+    """Records of sketches that are joined: bins, sorted by query, meet in a kernel as flat columns."""
+    schema = _record(kind)
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    names = [*(f"h{d}" for d in range(p.hdist + 1)), "miss"]
+    bins = _union([histograms(d, p.hdist, p.bin_shift) for d in _joined(queries, large, rows, canonical)])
+    model = queries.sparkSession.createDataFrame([(s["rid"], s["k"], s["h"], s["rho"]) for s in large], "rid string, k int, h int, rho double")
+    spans = queries.select("query_id", F.length("seq").cast("long").alias("seq_len")).join(model)  # queries x sketches
+    spans = spans.where((F.col("seq_len") >= F.col("k")) & (F.ceil((F.col("seq_len") - F.col("k") + 1) / (1 << p.bin_shift)) >= 2))
+    nothing = [F.lit(None).cast("int").alias("is_rc"), F.lit(None).cast("long").alias("bin"), *(F.lit(None).cast("long").alias(n) for n in names)]
+    counted = bins.select("rid", "query_id", F.lit(None).cast("long").alias("seq_len"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("h"), F.lit(None).cast("double").alias("rho"), "is_rc", "bin", *names)
+    laid = spans.select("rid", "query_id", "seq_len", "k", "h", "rho", *nothing).unionByName(counted)
+    laid = laid.repartition(shuffle_width(queries.sparkSession), "rid", "query_id").sortWithinPartitions("rid", "query_id", F.col("seq_len").desc_nulls_last(), "is_rc", "bin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["rid", "query_id"]):
+            first = {c: t.column(c)[0].as_py() for c in ("rid", "query_id", "seq_len", "k", "h", "rho")}
+            if first["seq_len"] is None:
+                continue  # too short
+            t = t.filter(pa.compute.is_valid(t.column("bin")))
+            is_rc, at = t.column("is_rc").to_numpy(), t.column("bin").to_numpy()
+            counts = np.column_stack([t.column(n).to_numpy() for n in names]) if t.num_rows else np.zeros((0, len(names)), np.int64)
+            both = [(at[is_rc == x], counts[is_rc == x]) for x in (0, 1)]
+            if out := _records(*first.values(), both, p):
+                yield _as_batch(out, shape)
+
+    return laid.mapInArrow(run, schema)
+
+
+def genome_sums(records: DataFrame, hdist: int) -> DataFrame:
+    """rid, v, u: histograms and misses of the closer strands of all queries, which lead rows carry (hist, misses)."""
+    return records.where("hist is not null").groupBy("rid").agg(F.array(*(F.sum(F.get("hist", F.lit(d))) for d in range(hdist + 1))).alias("v"), F.sum("misses").alias("u"))
+
+
 def diagnostics(queries: DataFrame, meta: DataFrame, p: MapParams) -> DataFrame:
     """rid, query_id, code: queries that are skipped or shorter than the minimum interval."""
     each = queries.select("query_id", F.length("seq").alias("n")).join(F.broadcast(meta.select("rid", "k")))  # a row per sketch
@@ -255,22 +427,26 @@ def diagnostics(queries: DataFrame, meta: DataFrame, p: MapParams) -> DataFrame:
     return each.select("rid", "query_id", code.alias("code")).where("code is not null")
 
 
-def map_queries(queries: DataFrame, sketch: tuple[DataFrame, DataFrame], p: MapParams = MapParams(), kernel_rows: int = 0) -> DataFrame:
+def map_queries(queries: DataFrame, sketch: tuple[DataFrame, DataFrame], p: MapParams = MapParams(), kernel_rows: int = KERNEL_ROWS, canonical: bool = False) -> DataFrame:
     """The 16 result columns, and emit (order within query and strand)."""
+    return map_and_notes(queries, sketch, p, kernel_rows, canonical)[0]
+
+
+def map_and_notes(queries: DataFrame, sketch: tuple[DataFrame, DataFrame], p: MapParams = MapParams(), kernel_rows: int = KERNEL_ROWS, canonical: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the result of map_queries; diagnostics, and for each query, sketch and code how many records were not tested)."""
     spark = queries.sparkSession
     ship(spark)
     meta, rows = sketch
     kind = dict(queries.dtypes)["query_id"]
-    bins = histograms(least_distances(queries, meta, rows, kernel_rows), p.hdist, p.bin_shift)
-    listed = bins.groupBy("rid", "query_id").agg(F.collect_list(F.struct("is_rc", "bin", F.array(*(f"h{d}" for d in range(p.hdist + 1))).alias("hits"), "miss")).alias("bins"))
-    model = meta.select("rid", "k", "h", partial_rho(F.col("rho"), F.col("m"), F.col("r"), F.col("frac")).alias("rho"))
-    spans = queries.select("query_id", F.length("seq").cast("long").alias("seq_len")).join(F.broadcast(model))  # queries x sketches: a row per sketch
-    spans = spans.where((F.col("seq_len") >= F.col("k")) & (F.ceil((F.col("seq_len") - F.col("k") + 1) / (1 << p.bin_shift)) >= 2))
-    listed = listed.select(F.col("rid").alias("_rid"), F.col("query_id").alias("_query"), "bins")
-    ready = spans.join(listed, (F.col("rid") == F.col("_rid")) & F.col("query_id").eqNullSafe(F.col("_query")), "left").drop("_rid", "_query").withColumn("bins", F.coalesce("bins", F.array().cast(dict(listed.dtypes)["bins"])))
-    records = saved(ready.repartition("rid", "query_id").mapInPandas(_mapped(p, kind), _record(kind)))
-
-    sums = records.where("hist is not null").groupBy("rid").agg(F.array(*(F.sum(F.get("hist", F.lit(d))) for d in range(p.hdist + 1))).alias("v"), F.sum("misses").alias("u"))
+    adjusted = meta.withColumn("rho", partial_rho(F.col("rho"), F.col("m"), F.col("r"), F.col("frac")))
+    small, large = _split(adjusted, rows, kernel_rows)
+    model = adjusted.select("rid", "k", "h", "rho")
+    parts = [_joined_records(queries, large, rows, p, kind, canonical)] if large else []
+    if small or not large:
+        parts.append(_kernel_records(queries, small, p, kind, canonical))
+    records = saved(_union(parts))
+
+    sums = genome_sums(records, p.hdist)
     genome = sums.join(model, "rid")
 
     @F.pandas_udf("double")
@@ -278,50 +454,57 @@ def map_queries(queries: DataFrame, sketch: tuple[DataFrame, DataFrame], p: MapP
         return pd.Series([float(Model(*x[2:], p.hdist).mle([x[0]], [x[1]])[0]) for x in zip(v, u, k, h, rho, strict=True)])
 
     genome = genome.select("rid", fitted("v", "u", "k", "h", "rho").alias("d_genome"))
-    tested = _tested(records, p) if p.sample_size else records.withColumns({"p": F.lit(math.nan), "fold": F.lit(math.nan)})
+    tested = saved(_tested(records, p)) if p.sample_size else records.withColumns({"p": F.lit(math.nan), "fold": F.lit(math.nan), "note": F.lit(None).cast("string")})
     scored = q_values(tested, ["rid", "is_rc"]).join(genome, "rid", "left")
     bare = p.coordinates_only
     nan = F.lit(math.nan)
-    return scored.select(
+    notes = tested.where("note is not null").groupBy("rid", "query_id", F.col("note").alias("code")).agg(F.count("*").alias("n"))
+    notes = diagnostics(queries, meta, p).withColumn("n", F.lit(1).cast("long")).unionByName(notes)
+    result = scored.select(
         F.col("query_id").alias("QUERY_ID"), F.col("seq_len").alias("SEQ_LEN"), F.col("start").alias("INTERVAL_START"), F.col("end").alias("INTERVAL_END"),
         strand_label(F.col("is_rc"), F.col("d_diff")).alias("STRAND"), F.col("is_rc").alias("IS_RC"), F.col("rid").alias("REF_ID"), F.col("d").alias("DIST"),
         F.coalesce(F.pow(F.lit(2), F.col("th")).cast("int"), F.lit(0)).alias("MASK"), F.concat(F.lit("("), five_digits(F.col("low")), F.lit(", "), five_digits(F.col("high")), F.lit(")")).alias("D_INTERVAL"),
         F.col("d_contig").alias("DIST_CONTIG"), F.col("d_diff").alias("STRAND_DIFF"), (nan if bare else F.col("d_genome")).alias("DIST_GENOME"), F.col("p").alias("PERCENTILE"), F.col("fold").alias("FOLD"), F.col("q").alias("QVALUE"), "emit",
     )
+    return result, notes
 
 
 def _tested(records: DataFrame, p: MapParams) -> DataFrame:
-    """records with p and fold. A record's nulls: windows of its sketch's pool but those that overlap it on its own query,
-    the first sample_size of them in an order drawn for each sketch. A sketch's pool is kept to the first 20 times
-    sample_size windows of that order; at most a query's own windows can overlap a record."""
+    """records with p, fold and note (why there is none). A record's nulls: sample_size windows drawn for it alone from those of
+    its sketch's pool that do not overlap it on its own query. A pool is a uniform sample of at most 20 times sample_size of its
+    windows, by a hash of seed and window, so that it can be broadcast; a record's draw depends on seed and record."""
     pool = records.select("rid", "query_id", F.explode("pool").alias("w")).select("rid", F.struct(F.xxhash64(F.lit(p.seed), "query_id", "w.a", "w.b").alias("o"), F.col("query_id").cast("string").alias("q"), "w.a", "w.b", "w.d").alias("w"))
     first = pool.withColumn("_r", F.row_number().over(Window.partitionBy("rid").orderBy("w"))).where(F.col("_r") <= 20 * p.sample_size)
     pools: dict[str, list] = {}
     for r in first.orderBy("rid", "w").collect():  # at most 20 * sample_size rows a sketch
         pools.setdefault(r["rid"], []).append(r["w"])
     frozen = {rid: (np.array([w["q"] for w in ws], object), *(np.array([w[c] for w in ws]) for c in ("a", "b", "d"))) for rid, ws in pools.items()}
-    shared, n = records.sparkSession.sparkContext.broadcast(frozen), p.sample_size
+    shared, n, seed = records.sparkSession.sparkContext.broadcast(frozen), p.sample_size, p.seed
 
-    @F.pandas_udf("struct<p:double,fold:double>")
+    @F.pandas_udf("struct<p:double,fold:double,note:string>")
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        out, fits = [], {}
+        out = []
         for r in rows.itertuples(index=False):
             q, a, b, d = shared.value.get(r.rid, (np.zeros(0),) * 4)
-            nulls = d[~((q == r.q) & (a < r.after - 1) & (r.first - 1 < b))][:n]
-            if len(nulls) < 8 or math.isnan(r.d):
-                out.append((math.nan, math.nan))
-                continue
-            key = nulls.tobytes()
-            if key not in fits:
-                fits[key] = (g := fit_gamma(nulls), g.median())
-            gamma, median = fits[key]
-            below = gamma.cdf(r.d)
-            two_sided = math.isfinite(r.d_diff) and r.closer
-            out.append((2 * min(below, 1 - below) if two_sided else below, r.d / median if median > 1e-7 else math.nan))
-        return pd.DataFrame(out, columns=["p", "fold"])
-
-    scored = records.drop("pool").withColumn("_s", score(F.struct("rid", F.col("query_id").cast("string").alias("q"), "first", "after", "d", "d_diff", "closer")))
-    return scored.select(*(c for c in records.columns if c != "pool"), "_s.p", "_s.fold")
+            nulls = d[~((q == r.q) & (a < r.after - 1) & (r.first - 1 < b))]
+            if len(nulls) > n:
+                draw = hashlib.sha256(f"{seed}|{r.rid}|{r.q}|{r.is_rc}|{r.first}|{r.after}|{r.th}".encode()).digest()
+                nulls = np.random.default_rng(int.from_bytes(draw[:8], "little")).choice(nulls, n, replace=False)
+            out.append(significance(r.d, nulls, math.isfinite(r.d_diff) and r.closer))
+        return pd.DataFrame(out, columns=["p", "fold", "note"])
+
+    scored = records.drop("pool").withColumn("_s", score(F.struct("rid", F.col("query_id").cast("string").alias("q"), "is_rc", "first", "after", "th", "d", "d_diff", "closer")))
+    return scored.select(*(c for c in records.columns if c != "pool"), "_s.p", "_s.fold", "_s.note")
+
+
+def significance(d: float, nulls: np.ndarray, two_sided: bool) -> tuple[float, float, str | None]:
+    """(p, fold, None), or NaNs and why: fewer than eight nulls, or no usable fit."""
+    if len(nulls) < 8:
+        return math.nan, math.nan, "few_nulls"
+    below, median = score_samples(d, nulls)
+    if not (math.isfinite(below) and math.isfinite(median)):
+        return math.nan, math.nan, "fit_failed"
+    return (2 * min(below, 1 - below) if two_sided else below), d / median, None
 
 
 def five_digits(x: Column) -> Column:

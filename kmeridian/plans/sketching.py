@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kmeridian.functions import encode as E
 from kmeridian.operators.kmers import hll_estimate, hll_registers, kmers, minimizers
+from kmeridian.operators.ranks import running_total
 from kmeridian.session import saved, ship
 
 META = "rid string, created_ts long, k int, w int, h int, m long, r long, frac boolean, nrows long, ppos array<int>, npos array<int>, rho double, nkmers long"
@@ -29,6 +30,8 @@ class SketchParams:
     frac: bool = True
     seed: int = 0
     ppos: tuple[int, ...] = field(default=())
+    canonical: bool = False  # keep the larger of a k-mer and its reverse complement; mapping must be told the same
+    compat: bool = False  # minimizers of windows that reach over breaks
 
     def __post_init__(self):
         put = lambda n, v: object.__setattr__(self, n, v)
@@ -75,7 +78,8 @@ def build(seqs: DataFrame, rid: str, p: SketchParams, created_ts: int | None = N
     sequences; distinct: hll (registers), or exact."""
     ship(seqs.sparkSession)
     long_enough = seqs.where(F.length("seq") >= p.w)
-    chosen = saved(minimizers(long_enough, p.k, p.w).select("query_id", "bp").distinct())
+    chosen = minimizers(long_enough, p.k, p.w, compat=p.compat).select("query_id", "bp").distinct()
+    chosen = saved(chosen)
 
     def counted(df: DataFrame) -> DataFrame:
         if distinct == "exact":
@@ -85,7 +89,8 @@ def build(seqs: DataFrame, rid: str, p: SketchParams, created_ts: int | None = N
     every = counted(kmers(long_enough, p.k).select("query_id", "bp")).agg(F.sum("estimate")).first()[0] or 0.0
     kept = counted(chosen).agg(F.sum("estimate")).first()[0] or 0.0
     rho = kept / every if every else 0.0
-    rows = saved(keyed(chosen, p).select(F.lit(rid).alias("rid"), "rix", "enc").distinct())
+    larger = F.greatest("bp", E.reverse_complement(F.col("bp"), p.k)) if p.canonical else F.col("bp")
+    rows = saved(keyed(chosen.withColumn("bp", larger), p).select(F.lit(rid).alias("rid"), "rix", "enc").distinct())
     meta = (rid, int(time.time()) if created_ts is None else created_ts, p.k, p.w, p.h, p.m, p.r, p.frac, p.nrows, list(p.ppos), list(p.npos), rho, rows.count())
     return seqs.sparkSession.createDataFrame([meta], META), rows
 
@@ -113,24 +118,32 @@ def load(spark: SparkSession, path: str, rids: list[str] | None = None) -> tuple
     return (meta.where(F.col("rid").isin(rids)), rows.where(F.col("rid").isin(rids))) if rids is not None else (meta, rows)
 
 
+def is_empty(sequences: DataFrame) -> bool:
+    return sequences.isEmpty()
+
+
 def info(meta: DataFrame) -> DataFrame:
     return meta.select("rid", F.from_unixtime("created_ts").alias("created"), "k", "w", "h", "m", "r", "frac", "nrows", "rho", "nkmers")
 
 
 def bucket_offsets(rows: DataFrame) -> DataFrame:
     """rid, rix, size and inclusive end of each bucket in bucket order."""
-    from pyspark.sql import Window
-
-    sizes = rows.groupBy("rid", "rix").agg(F.count("*").alias("size"))
-    return sizes.withColumn("end", F.sum("size").over(Window.partitionBy("rid").orderBy("rix").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def csr(rows: DataFrame, rid: str, most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted (rix, enc) of one sketch for the broadcast kernel; None if it has more than `most` k-mers."""
-    own = rows.where(F.col("rid") == rid)
-    if own.count() > most:
-        return None
-    t = own.select("rix", "enc").toArrow()
-    rix, enc = (t.column(c).to_numpy() for c in ("rix", "enc"))
-    order = np.lexsort((enc, rix))
-    return rix[order], enc[order]
+    return running_total(rows.groupBy("rid", "rix").agg(F.count("*").alias("size")), ["rid"], ["rix"], "size", "end")
+
+
+def csr(rows: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted (rix, enc) by rid for the broadcast kernel: sketches from small to large while they have at most `most` k-mers
+    together, by their counts. The others are left out."""
+    small, total = [], 0
+    for r in rows.groupBy("rid").count().orderBy("count", "rid").collect():  # a row a sketch
+        total += r["count"]
+        if total > most:
+            break
+        small.append(r["rid"])
+    out = {}
+    for rid in small:
+        t = rows.where(F.col("rid") == rid).select("rix", "enc").toArrow()
+        rix, enc = (t.column(c).to_numpy() for c in ("rix", "enc"))
+        order = np.lexsort((enc, rix))
+        out[rid] = (rix[order], enc[order])
+    return out
