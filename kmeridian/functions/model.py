@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -22,16 +23,16 @@ class Model:
     rho: float = 1.0
     hdist: int = 4
 
-    @property
+    @cached_property
     def choose(self) -> np.ndarray:
         return np.array([math.comb(self.k, d) for d in range(self.k + 1)], float)
 
-    @property
+    @cached_property
     def elude(self) -> np.ndarray:
         """Ways to place d differences with at least one on a hashed position."""
         return np.array([math.comb(self.k, d) - math.comb(self.k - self.h, d) for d in range(self.k + 1)], float)
 
-    @property
+    @cached_property
     def miss_weights(self) -> np.ndarray:
         d = np.arange(self.k + 1)
         return np.where(d <= self.hdist, self.elude, self.choose)
@@ -51,18 +52,29 @@ class Model:
         hits = (v[..., : self.hdist + 1] * (self.k * np.log1p(-D)[..., None] + d * np.log(D / (1 - D))[..., None])).sum(-1)
         return -hits - u * np.log(self.rho * self.miss(D)[0] + 1 - self.rho)
 
+    @cached_property
+    def _grid(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances to begin with, and at each the log-likelihood of a hit (by distance) and of a miss."""
+        grid = np.concatenate((np.geomspace(1e-7, 0.01, 30)[:-1], np.linspace(0.01, UPPER, 99)))
+        d = np.arange(self.hdist + 1)[:, None]
+        return grid, self.k * np.log1p(-grid) + d * np.log(grid / (1 - grid)), np.log(self.rho * self.miss(grid)[0] + 1 - self.rho)
+
     def mle(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The distance in [0, UPPER] of least negative log-likelihood, by a grid and golden sections, for all rows at once."""
         v, u = np.atleast_2d(np.asarray(v, float)), np.atleast_1d(np.asarray(u, float))
-        grid = np.concatenate((np.geomspace(1e-7, 0.01, 30)[:-1], np.linspace(0.01, UPPER, 99)))
-        best = np.array([self.nll(np.full(len(v), g), v, u) for g in grid]).argmin(0)
+        grid, hit, miss = self._grid
+        best = (v[:, : self.hdist + 1] @ hit + u[:, None] * miss).argmax(1)
         a, b = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, len(grid) - 1)]
         a = np.where(best == 0, 0.0, a)
         ratio = (math.sqrt(5) - 1) / 2
-        for _ in range(60):
-            c, e = b - ratio * (b - a), a + ratio * (b - a)
-            left = self.nll(c, v, u) < self.nll(e, v, u)
+        c, e = b - ratio * (b - a), a + ratio * (b - a)
+        at_c, at_e = self.nll(c, v, u), self.nll(e, v, u)
+        for _ in range(45):
+            left = at_c < at_e
             a, b = np.where(left, a, c), np.where(left, e, b)
+            new = np.where(left, b - ratio * (b - a), a + ratio * (b - a))
+            value = self.nll(new, v, u)
+            c, e, at_c, at_e = np.where(left, new, e), np.where(left, c, new), np.where(left, value, at_e), np.where(left, at_c, value)
         return (a + b) / 2
 
     def score(self, D: float) -> np.ndarray:
@@ -153,42 +165,108 @@ def moments(x: np.ndarray) -> Gamma:
     return Gamma(max(mean * mean / var, 1e-2), max(var / mean, 1e-6)) if mean > 0 else Gamma()
 
 
-def fit_gamma(x: np.ndarray, most: int = 200) -> Gamma:
-    """Quantile matching at 0.2, 0.4 and 0.6 by a simplex in the logs of shape and scale, from the moments."""
-    x = np.asarray(x, float)
-    if not len(x):
-        return Gamma()
-    want, at = (0.2, 0.4, 0.6), quantiles(x)
-    loss = lambda p: sum((Gamma(math.exp(p[0]), math.exp(p[1])).cdf(v) - w) ** 2 for v, w in zip(at, want, strict=True))
-    start = moments(x)
-    p = np.log([start.shape, start.scale])
-    points = [(loss(q), tuple(q)) for q in (p, p + [0.5, 0], p + [0, 0.5])]
+def gamma_cdfs(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function of arrays: series and continued fraction, as in gammainc."""
+    shape, x = np.broadcast_arrays(np.asarray(shape, float), np.asarray(x, float))
+    out, good = np.zeros(x.shape), (x > 0) & (shape > 0) & np.isfinite(x) & np.isfinite(shape)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    low, high = good & (x < shape + 1), good & (x >= shape + 1)
+    for part, of in ((low, _series), (high, _fraction)):
+        if part.any():
+            a, y = shape[part], x[part]
+            out[part] = of(a, y, np.exp(-y + a * np.log(y) - log_gamma(a)))
+    return out
+
+
+def _series(a: np.ndarray, x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    term = 1 / a
+    total, n = term.copy(), a.copy()
+    while (np.abs(term) > np.abs(total) * 1e-15).any():
+        n = n + 1
+        term = term * x / n
+        total = total + term
+    return np.minimum(1.0, total * head)
+
+
+def _fraction(a: np.ndarray, x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    b, c = x + 1 - a, np.full(len(x), 1e300)
+    d = 1 / b
+    h = d.copy()
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b = b + 2
+        d = an * d + b
+        d = 1 / np.where(d == 0, 1e-300, d)
+        c = b + an / c
+        c = np.where(c == 0, 1e-300, c)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    return np.maximum(0.0, 1 - h * head)
+
+
+def fit_gammas(samples: list[np.ndarray], most: int = 200) -> list[Gamma]:
+    """Quantile matching at 0.2, 0.4 and 0.6 by a simplex in the logs of shape and scale, from the moments; one simplex for
+    each list of samples, all stepped together. No samples: shape and scale 1."""
+    out, some = [Gamma()] * len(samples), [i for i, x in enumerate(samples) if len(x)]
+    if not some:
+        return out
+    at, want = np.array([quantiles(samples[i]) for i in some]), np.array([0.2, 0.4, 0.6])
+    start = [moments(np.asarray(samples[i], float)) for i in some]
+    first = np.log([[g.shape, g.scale] for g in start])
+
+    def loss(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return ((gamma_cdfs(np.exp(p[:, :1]), at[rows] / np.exp(p[:, 1:])) - want) ** 2).sum(1)
+
+    every = np.arange(len(some))
+    points = np.stack([first, first + [0.5, 0], first + [0, 0.5]], axis=1)  # a simplex a row
+    values = np.stack([loss(points[:, j], every) for j in range(3)], axis=1)
+    open_ = every
     for step in range(most):
-        points.sort()
-        best, worst = np.array(points[0][1]), np.array(points[2][1])
-        if step > 5 and points[2][0] - points[0][0] < 1e-6 and max(np.abs(np.array(q) - best).max() for _, q in points) < 1e-6:
+        order = np.argsort(values[open_], axis=1, kind="stable")
+        values[open_], points[open_] = np.take_along_axis(values[open_], order, 1), np.take_along_axis(points[open_], order[..., None], 1)
+        if step > 5:
+            flat = values[open_, 2] - values[open_, 0] < 1e-6
+            near = np.abs(points[open_] - points[open_, :1]).max(axis=(1, 2)) < 1e-6
+            open_ = open_[~(flat & near)]
+        if not len(open_):
             break
-        middle = (best + np.array(points[1][1])) / 2
-        at_ = lambda t: (loss(q := middle + t * (middle - worst)), tuple(q))  # noqa: B023, E731
-        trial = at_(1.0)
-        if trial[0] < points[0][0]:
-            points[2] = min(trial, at_(2.0))
-        elif trial[0] < points[1][0]:
-            points[2] = trial
-        elif (inner := at_(0.5 if trial[0] < points[2][0] else -0.5))[0] < min(trial[0], points[2][0]):
-            points[2] = inner
-        else:
-            points[1:] = [(loss(q := best + 0.5 * (np.array(o) - best)), tuple(q)) for _, o in points[1:]]
-    shape, scale = np.exp(min(points)[1])
-    return Gamma(float(shape), float(scale))
-
-
-def score_samples(x: float, samples: np.ndarray) -> tuple[float, float]:
+        best, middle, worst = points[open_, 0], points[open_, :2].mean(1), points[open_, 2]
+        v = values[open_]
+        trial = middle + (middle - worst)
+        of_trial = loss(trial, open_)
+        grow = of_trial < v[:, 0]
+        inner = ~grow & (of_trial >= v[:, 1])
+        factor = np.where(grow, 2.0, np.where(of_trial < v[:, 2], 0.5, -0.5))
+        other = middle + factor[:, None] * (middle - worst)
+        of_other = np.where(grow | inner, loss(other, open_), np.inf)
+        better = of_other < np.where(inner, np.minimum(of_trial, v[:, 2]), of_trial)
+        shrink = inner & ~better
+        take = np.where(((grow | inner) & better)[:, None], other, trial)
+        of_take = np.where((grow | inner) & better, of_other, of_trial)
+        keep = ~shrink
+        points[open_[keep], 2], values[open_[keep], 2] = take[keep], of_take[keep]
+        for j in (1, 2):
+            rows = open_[shrink]
+            if len(rows):
+                points[rows, j] = best[shrink] + 0.5 * (points[rows, j] - best[shrink])
+                values[rows, j] = loss(points[rows, j], rows)
+    chosen = points[every, values.argmin(1)]
+    for i, (shape, scale) in zip(some, np.exp(chosen), strict=True):
+        out[i] = Gamma(float(shape), float(scale))
+    return out
+
+
+def fit_gamma(x: np.ndarray, most: int = 200) -> Gamma:
+    return fit_gammas([np.asarray(x, float)], most)[0]
+
+
+def score_samples(x: float, samples: np.ndarray, law: Gamma | None = None) -> tuple[float, float]:
     """(cumulative probability of x, median) under the Gamma law fitted to samples, both NaN if x or the fit is unusable; the
     median is NaN as well where half the mass lies above 1 - 1e-5 or it is not above EPS."""
     if not math.isfinite(x) or len(samples) < 8:
         return math.nan, math.nan
-    law = fit_gamma(samples)
+    law = law or fit_gamma(samples)
     if not (math.isfinite(law.shape) and math.isfinite(law.scale) and law.shape > 0 and law.scale > 0):
         return math.nan, math.nan
     median = law.median()

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kmeridian.functions import encode as E
-from kmeridian.functions.model import Model, score_samples, valid_distance
+from kmeridian.functions.model import Gamma, Model, fit_gammas, score_samples, valid_distance
 from kmeridian.operators import intervals as X
 from kmeridian.operators.kmers import kmers
 from kmeridian.operators.ranks import q_values
@@ -30,7 +30,9 @@ from kmeridian.plans.sketching import compact, csr, partial_rho
 from kmeridian.session import saved, ship, shuffle_width
 
 #: k-mers of sketches that are broadcast together, at most: 16 bytes each.
-KERNEL_ROWS = 2_000_000
+KERNEL_ROWS = 8_000_000
+#: k-mers of sequences that the kernel takes at once, about, and pairs that it compares at once.
+CHUNK, PAIRS = 500_000, 2_000_000
 COLUMNS = ("QUERY_ID", "SEQ_LEN", "INTERVAL_START", "INTERVAL_END", "STRAND", "IS_RC", "REF_ID", "DIST", "MASK", "D_INTERVAL", "DIST_CONTIG", "STRAND_DIFF", "DIST_GENOME", "PERCENTILE", "FOLD", "QVALUE")
 
 
@@ -79,40 +81,68 @@ def _split(meta: DataFrame, rows: DataFrame, kernel_rows: int) -> tuple[list[dic
 
 def _search(s: dict, bp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which k-mers lie in the sketch's partition, their least distances, 99 for an empty bucket)."""
-    bucket = E.gather(bp, s["ppos"]).astype(np.int64)
+    distinct, at = np.unique(bp, return_inverse=True)
+    bucket = E.gather(distinct, s["ppos"]).astype(np.int64)
     over = bucket % s["m"]
     inside = np.flatnonzero(over <= s["r"] if s["frac"] else over == s["r"])
     row = bucket[inside] // s["m"] * (s["r"] + 1) + over[inside] if s["frac"] else bucket[inside] // s["m"]
-    own = E.gather(bp[inside], s["npos"])
-    lo, hi = np.searchsorted(s["rix"], row, "left"), np.searchsorted(s["rix"], row, "right")
-    best, enc = np.full(len(row), 99, np.int64), s["enc"].view(np.uint64)
-    at = np.flatnonzero(lo < hi)
-    step = 0
-    while len(at):
-        d = own[at] ^ enc[lo[at] + step]
-        best[at] = np.minimum(best[at], np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(E.EVEN)))
-        step += 1
-        at = at[(lo[at] + step < hi[at]) & (best[at] > 0)]
-    return inside, best
-
-
-def _both(seq: str | None, k: int, canonical: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(positions, bp by strand) of a sequence's k-mers."""
-    pos, bp = E.encode_all(seq, k)
-    rc = E.reverse_complements(bp, k)
-    return pos, [np.maximum(bp, rc), bp[:0]] if canonical else [bp, rc]
-
-
-def _each(seq: str | None, sketches: list[dict], canonical: bool) -> Iterator[tuple[dict, int, np.ndarray, np.ndarray]]:
-    """(sketch, strand, positions in its partition, least distances) of a sequence."""
-    encoded: dict[int, tuple] = {}
-    for s in sketches:
-        if s["k"] not in encoded:
-            encoded[s["k"]] = _both(seq, s["k"], canonical)
-        pos, strands_ = encoded[s["k"]]
-        for is_rc, bp in enumerate(strands_):
+    best = np.full(len(distinct), -1, np.int32)
+    best[inside] = _least(s["rix"], s["enc"].view(np.uint64), row, E.gather(distinct[inside], s["npos"]))
+    hd = best[at]
+    kept = np.flatnonzero(hd >= 0)
+    return kept, hd[kept]
+
+
+def _least(rix: np.ndarray, enc: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least distance of each k-mer to its bucket, 99 if that is empty. What a bucket holds exactly is found by search; other
+    pairs are compared in blocks."""
+    lo, hi = np.searchsorted(rix, row, "left"), np.searchsorted(rix, row, "right")
+    best = np.full(len(row), 99, np.int32)
+    low, high = lo.copy(), hi.copy()
+    while (open_ := low < high).any():  # enc is sorted within a bucket
+        mid = (low + high) // 2
+        less = open_ & (enc[np.minimum(mid, len(enc) - 1)] < own)
+        low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    best[(low < hi) & (enc[np.minimum(low, max(len(enc) - 1, 0))] == own) if len(enc) else np.zeros(len(row), bool)] = 0
+    left = np.flatnonzero((lo < hi) & (best > 0))
+    ends = np.cumsum(hi[left] - lo[left])
+    cut = 0
+    while cut < len(left):
+        to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + PAIRS, "right")))
+        part = left[cut:to]
+        n = hi[part] - lo[part]
+        first = np.cumsum(n) - n
+        d = enc[np.arange(n.sum()) + np.repeat(lo[part] - first, n)] ^ np.repeat(own[part], n)
+        best[part] = np.minimum.reduceat(np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(E.EVEN)), first)
+        cut = to
+    return best
+
+
+def _chunks(b: pa.RecordBatch, ks: set[int], canonical: bool) -> Iterator[tuple[list[int], dict[int, tuple[np.ndarray, ...]]]]:
+    """(rows, by k: row, strand, position and bp of all their k-mers): sequences in order, about CHUNK k-mers at once."""
+    rows, held, total = [], {k: [] for k in ks}, 0
+    seqs = b.column("seq").to_pylist()
+    for i, seq in enumerate(seqs):
+        rows.append(i)
+        for k in ks:
+            pos, bp = E.encode_all(seq, k)
+            rc = E.reverse_complements(bp, k)
+            n = len(pos)
+            for strand, x in enumerate([np.maximum(bp, rc)] if canonical else [bp, rc]):
+                held[k].append((np.full(n, i, np.int64), np.full(n, strand, np.int32), pos, x))
+            total += 2 * n
+        if total >= CHUNK or i == len(seqs) - 1:
+            yield rows, {k: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for k, parts in held.items()}
+            rows, held, total = [], {k: [] for k in ks}, 0
+
+
+def _found(sketches: list[dict], b: pa.RecordBatch, canonical: bool) -> Iterator[tuple[list[int], dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, sketch, row, strand, position and least distance of all k-mers in its partition), in order."""
+    for rows, by_k in _chunks(b, {s["k"] for s in sketches}, canonical):
+        for s in sketches:
+            owner, strand, pos, bp = by_k[s["k"]]
             inside, hd = _search(s, bp)
-            yield s, is_rc, pos[inside], hd
+            yield rows, s, owner[inside], strand[inside], pos[inside], hd
 
 
 def _joined(queries: DataFrame, sketches: list[dict], rows: DataFrame, canonical: bool) -> list[DataFrame]:
@@ -150,22 +180,21 @@ def least_distances(queries: DataFrame, meta: DataFrame, rows: DataFrame, kernel
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, seq in enumerate(b.column("seq").to_pylist()):
-                    for s, is_rc, pos, hd in _each(seq, shared.value, canonical):
-                        n = len(pos)
-                        one = b.column("query_id").take(pa.array(np.full(n, i)))
-                        yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * n, pa.string()), one, pa.array(np.full(n, is_rc, np.int32)), pa.array(pos.astype(np.int64)), pa.array(hd.astype(np.int32), mask=hd == 99)], ["rid", "query_id", "is_rc", "pos", "hd"])
+                for _, s, owner, strand, pos, hd in _found(shared.value, b, canonical):
+                    names = ["rid", "query_id", "is_rc", "pos", "hd"]
+                    yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * len(pos), pa.string()), b.column("query_id").take(pa.array(owner)), pa.array(strand), pa.array(pos.astype(np.int64)), pa.array(hd, mask=hd == 99)], names)
 
         parts.append(queries.select("query_id", "seq").mapInArrow(run, f"rid string, query_id {dict(queries.dtypes)['query_id']}, is_rc int, pos long, hd int"))
     return _union(parts)
 
 
-def _binned(pos: np.ndarray, hd: np.ndarray, hdist: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bins that have k-mers, their counts by distance, misses last)."""
-    bins, at = np.unique(pos >> shift, return_inverse=True)
-    counts = np.zeros((len(bins), hdist + 2), np.int64)
-    np.add.at(counts, (at, np.minimum(hd, hdist + 1)), 1)
-    return bins, counts
+def _binned(owner: np.ndarray, strand: np.ndarray, pos: np.ndarray, hd: np.ndarray, hdist: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, strand, bin, counts by distance with misses last) of all bins that have k-mers, in order."""
+    bins = pos >> shift
+    span = int(bins.max(initial=0)) + 1
+    key, at = np.unique((owner * 2 + strand) * span + bins, return_inverse=True)
+    counts = np.bincount(at * (hdist + 2) + np.minimum(hd, hdist + 1), minlength=len(key) * (hdist + 2)).reshape(-1, hdist + 2)
+    return key // span // 2, key // span % 2, key % span, counts
 
 
 def query_histograms(queries: DataFrame, meta: DataFrame, rows: DataFrame, hdist: int = 4, bin_shift: int = 0, kernel_rows: int = KERNEL_ROWS, canonical: bool = False) -> DataFrame:
@@ -179,12 +208,9 @@ def query_histograms(queries: DataFrame, meta: DataFrame, rows: DataFrame, hdist
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, seq in enumerate(b.column("seq").to_pylist()):
-                    for s, is_rc, pos, hd in _each(seq, shared.value, canonical):
-                        bins, counts = _binned(pos, hd, hdist, bin_shift)
-                        n = len(bins)
-                        one = b.column("query_id").take(pa.array(np.full(n, i)))
-                        yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * n, pa.string()), one, pa.array(np.full(n, is_rc, np.int32)), pa.array(bins.astype(np.int64)), *map(pa.array, np.ascontiguousarray(counts.T))], ["rid", "query_id", "is_rc", "bin", *names])
+                for _, s, *found in _found(shared.value, b, canonical):
+                    owner, strand, bins, counts = _binned(*found, hdist, bin_shift)
+                    yield pa.RecordBatch.from_arrays([pa.array([s["rid"]] * len(bins), pa.string()), b.column("query_id").take(pa.array(owner)), pa.array(strand.astype(np.int32)), pa.array(bins), *map(pa.array, np.ascontiguousarray(counts.T))], ["rid", "query_id", "is_rc", "bin", *names])
 
         counted = queries.select("query_id", "seq").mapInArrow(run, f"rid string, query_id {dict(queries.dtypes)['query_id']}, is_rc int, bin long, " + ", ".join(f"{n} long" for n in names))
         parts.append(counted.groupBy("rid", "query_id", "is_rc", "bin").agg(*(F.sum(n).alias(n) for n in names)))  # repeated ids count together
@@ -374,13 +400,17 @@ def _kernel_records(queries: DataFrame, small: list[dict], p: MapParams, kind: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for query, seq in zip(b.column("query_id").to_pylist(), b.column("seq").to_pylist(), strict=True):
-                n = len(seq or "")
-                open_ = [s for s in shared.value if n >= s["k"] and -(-(n - s["k"] + 1) // (1 << p.bin_shift)) >= 2]
-                found = [(s, _binned(pos, hd, p.hdist, p.bin_shift)) for s, _, pos, hd in _each(seq, open_, canonical)]
-                for (s, fw), (_, rc) in zip(found[::2], found[1::2], strict=True):
-                    if rows := _records(s["rid"], query, n, s["k"], s["h"], s["rho"], [fw, rc], p):
-                        yield _as_batch(rows, shape)
+            ids, sizes = b.column("query_id").to_pylist(), [len(x or "") for x in b.column("seq").to_pylist()]
+            for rows, s, *found in _found(shared.value, b, canonical):
+                owner, strand, bins, counts = _binned(*found, p.hdist, p.bin_shift)
+                out = []
+                for i in rows:
+                    if sizes[i] >= s["k"] and -(-(sizes[i] - s["k"] + 1) // (1 << p.bin_shift)) >= 2:
+                        lo, hi = np.searchsorted(owner, [i, i + 1])
+                        mid = lo + int(np.searchsorted(strand[lo:hi], 1))
+                        out += _records(s["rid"], ids[i], sizes[i], s["k"], s["h"], s["rho"], [(bins[lo:mid], counts[lo:mid]), (bins[mid:hi], counts[mid:hi])], p)
+                if out:
+                    yield _as_batch(out, shape)
 
     return queries.select("query_id", "seq").mapInArrow(run, schema)
 
@@ -483,25 +513,27 @@ def _tested(records: DataFrame, p: MapParams) -> DataFrame:
 
     @F.pandas_udf("struct<p:double,fold:double,note:string>")
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        drawn = []
         for r in rows.itertuples(index=False):
             q, a, b, d = shared.value.get(r.rid, (np.zeros(0),) * 4)
             nulls = d[~((q == r.q) & (a < r.after - 1) & (r.first - 1 < b))]
             if len(nulls) > n:
                 draw = hashlib.sha256(f"{seed}|{r.rid}|{r.q}|{r.is_rc}|{r.first}|{r.after}|{r.th}".encode()).digest()
                 nulls = np.random.default_rng(int.from_bytes(draw[:8], "little")).choice(nulls, n, replace=False)
-            out.append(significance(r.d, nulls, math.isfinite(r.d_diff) and r.closer))
+            drawn.append(nulls)
+        laws = fit_gammas([x if len(x) >= 8 else x[:0] for x in drawn])
+        out = [significance(r.d, x, math.isfinite(r.d_diff) and r.closer, law) for r, x, law in zip(rows.itertuples(index=False), drawn, laws, strict=True)]
         return pd.DataFrame(out, columns=["p", "fold", "note"])
 
     scored = records.drop("pool").withColumn("_s", score(F.struct("rid", F.col("query_id").cast("string").alias("q"), "is_rc", "first", "after", "th", "d", "d_diff", "closer")))
     return scored.select(*(c for c in records.columns if c != "pool"), "_s.p", "_s.fold", "_s.note")
 
 
-def significance(d: float, nulls: np.ndarray, two_sided: bool) -> tuple[float, float, str | None]:
+def significance(d: float, nulls: np.ndarray, two_sided: bool, law: Gamma | None = None) -> tuple[float, float, str | None]:
     """(p, fold, None), or NaNs and why: fewer than eight nulls, or no usable fit."""
     if len(nulls) < 8:
         return math.nan, math.nan, "few_nulls"
-    below, median = score_samples(d, nulls)
+    below, median = score_samples(d, nulls, law)
     if not (math.isfinite(below) and math.isfinite(median)):
         return math.nan, math.nan, "fit_failed"
     return (2 * min(below, 1 - below) if two_sided else below), d / median, None
