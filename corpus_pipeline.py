@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; every result is written as Parquet and
 read again. Quality rules drop what they reject; of near duplicates the document of least doc_id stays; personal data is
 masked; the mix drops and repeats documents; the last stage returns ids of the mixed texts.
+
+Nulls, empty texts and repeated rows: a null or empty text has fewer words than the base rule asks for and goes in the first
+stage; later stages by themselves keep such texts (each its own near-duplicate component, nothing to mask, of size 0 in the
+mix, no token ids). Documents with a null doc_id, lang or source go through like others; of rows that repeat doc_id and
+text one stays, a repeated doc_id on other texts takes nothing with it. The mix repeats rows on purpose. Texts of any length
+are processed whole. Empty tables pass every stage and come out empty. Columns other than those of documents are kept by all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmeridian.llm import bpe_codec, mixing, ngram_join, pii, quality_rules
-from kmeridian.session import scratch, table
+from kmeridian.session import saved_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +46,15 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_stage), ("near_duplicates", near_duplicate_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe_encoding", encoding_stage)]
 
-#: The stages fit models and encode by merges, which SQL does not express. Tests hold operators below them against brute
-#: force and libraries; the stages and the chain themselves are not compared with anything yet.
+#: The stages fit models and encode by merges, which SQL does not express: tests hold each stage and the chain against plain
+#: Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{scratch(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{saved_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

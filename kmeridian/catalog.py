@@ -17,13 +17,14 @@ from kmeridian.operators import kmers as K
 from kmeridian.operators import view as V
 from kmeridian.plans import mapping as M
 from kmeridian.plans import sketching as S
-from kmeridian.session import table
+from kmeridian.session import saved, table
 from kmeridian.sources import readers as R
 
 K27 = 27
 #: Fixed hash positions for queries whose results SQL checks.
 PPOS = (26, 25, 20, 18, 15, 14, 13, 10, 7, 5, 0)
 PARAMS = S.SketchParams(k=27, w=31, h=11, m=2, r=1, ppos=PPOS)
+EIGHT = tuple(x / 20 for x in range(1, 9))
 HALF = S.SketchParams(k=27, w=31, h=11, m=2, r=1, frac=False, ppos=PPOS)
 
 
@@ -120,10 +121,19 @@ def hll_estimate(spark, d):
     return K.hll_estimate(hll_registers(spark, d, texts)).select(F.round("estimate", 4).alias("estimate"))
 
 
-def _least(spark, d, of=refs, to=talk):
+def _ref_sketch(spark, d, of=refs):
     rows = S.keyed(_minimized(spark, d, of), PARAMS).select(F.lit("ref").alias("rid"), "rix", "enc").distinct()
     meta = spark.createDataFrame([("ref", 0, 27, 31, 11, 2, 1, True, PARAMS.nrows, list(PPOS), list(PARAMS.npos), 0.25, 0)], S.META)
-    return M.least_distances(to(spark, d), meta, rows)
+    return meta, saved(rows)
+
+
+def _least(spark, d, of=refs, to=talk, kernel_rows=M.KERNEL_ROWS):
+    return M.least_distances(to(spark, d), *_ref_sketch(spark, d, of), kernel_rows)
+
+
+def lsh_join(spark, d):
+    """The same by the join that large sketches take."""
+    return _least(spark, d, kernel_rows=0).groupBy("is_rc", "hd").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"))
 
 
 def lsh_min_hamming(spark, d, of=refs, to=talk):
@@ -131,7 +141,7 @@ def lsh_min_hamming(spark, d, of=refs, to=talk):
 
 
 def bin_histogram(spark, d, of=refs, to=talk):
-    return M.histograms(_least(spark, d, of, to), 4, 6).drop("rid")
+    return M.query_histograms(to(spark, d), *_ref_sketch(spark, d, of), 4, 6).drop("rid")
 
 
 def strand_totals(spark, d, of=refs, to=talk):
@@ -139,7 +149,7 @@ def strand_totals(spark, d, of=refs, to=talk):
     return h.groupBy("query_id", "is_rc").agg(*(F.sum(c).alias(c) for c in ("h0", "h1", "h2", "h3", "h4", "miss")))
 
 
-def genome_totals(spark, d, of=refs, to=talk):
+def sketch_totals(spark, d, of=refs, to=talk):
     return M.histograms(_least(spark, d, of, to), 4, 6).groupBy("is_rc").agg(*(F.sum(c).alias(c) for c in ("h0", "h1", "h2", "h3", "h4", "miss")))
 
 
@@ -157,12 +167,12 @@ def full_map(spark, d):
 
 def full_map_eight(spark, d):
     sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
-    return M.map_queries(rest(spark, d), sk, M.MapParams(thresholds=tuple(x / 20 for x in range(1, 9)), min_length=200, bin_shift=3), kernel_rows=1_000_000).drop("emit")
+    return M.map_queries(rest(spark, d), sk, M.MapParams(thresholds=EIGHT, min_length=200, bin_shift=3)).drop("emit")
 
 
 def full_map_enum(spark, d):
     sk = S.build(even(spark, d), "ref", PARAMS, created_ts=0)
-    return M.map_queries(rest(spark, d), sk, M.MapParams(min_length=200, bin_shift=3, enum_only=True, sample_size=0)).drop("emit")
+    return M.map_queries(rest(spark, d), sk, M.MapParams(thresholds=EIGHT, min_length=200, bin_shift=3, enum_only=True, sample_size=0)).drop("emit")
 
 
 def _walk(spark, d):
@@ -211,15 +221,6 @@ def bh_q(spark, d):
     return M.q_values(_tests(spark, d), ["g"]).select("o_orderkey", F.round("q", 9).alias("q"))
 
 
-def quantiles(spark, d):
-    return _tests(spark, d).groupBy("g").agg(F.percentile("p", F.array(F.lit(0.2), F.lit(0.4), F.lit(0.6))).alias("q")).select("g", *(F.round(F.col("q")[i], 9).alias(f"q{i}") for i in range(3)))
-
-
-def gamma_moments(spark, d):
-    m, v = F.avg("p"), F.greatest(F.var_pop("p"), F.lit(1e-6))
-    return _tests(spark, d).groupBy("g").agg(F.round(m * m / v, 6).alias("shape"), F.round(v / m, 6).alias("scale"))
-
-
 def _sides(spark, d):
     c = table(spark, d, "customer")
     x = (F.col("c_custkey") * 37 % 1000 - 500) / 1000.0
@@ -254,24 +255,6 @@ def annotation_overlap(spark, d):
     return V.annotate(q, _features(spark, d)).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("locus_tag").alias("first"))
 
 
-def retained_refs(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("k"), "left_semi").select("c_custkey")
-
-
-def overlap_antijoin(spark, d):
-    """Pairs of a walk's windows of which neither overlaps the other, counted by group."""
-    i = intervals_mx(spark, d)
-    a, b = i.select("g", F.col("a").alias("a1"), F.col("b").alias("b1")), i.select("g", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    return a.join(b, "g").where(~M.overlaps(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2"))).groupBy("g").agg(F.count("*").alias("n"))
-
-
-def coordinates(spark, d):
-    li = _walk(spark, d)
-    start = F.shiftleft(F.col("bin"), 3) + 1
-    return li.select("g", "bin", start.alias("start"), F.least(start + 8, F.lit(4000).cast("long")).alias("stop"))
-
-
 _DNA = "translate(hex(text), '0123456789ABCDEF', 'ACGTACGTACGTACGT')"
 _BP = "list_sum([(instr('ACGT', substr(kmer, j + 1, 1)) - 1)::BIGINT << (2 * (26 - j)) for j in range(27)])::BIGINT"
 
@@ -346,29 +329,25 @@ SQL = {
     "bucket_offsets": f"WITH {_REF}, {_MIN}, {_SK} SELECT rix, count(*) AS size, CAST(sum(count(*)) OVER (ORDER BY rix) AS BIGINT) AS \"end\" FROM sk GROUP BY rix",
     "hll_registers": f"WITH {_REF}, {_Z}, y AS (SELECT CAST(z & 4294967295::UHUGEINT AS BIGINT) AS y FROM z) SELECT y >> 20 AS idx, max(least(20, CASE WHEN (y << 12) & 4294967295 = 0 THEN 32 ELSE 32 - length(bin((y << 12) & 4294967295)) END) + 1) AS reg FROM y GROUP BY idx",
     "lsh_min_hamming": f"WITH {_LEAST} SELECT is_rc, hd, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos FROM hits GROUP BY is_rc, hd",
+    "lsh_join": f"WITH {_LEAST} SELECT is_rc, hd, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos FROM hits GROUP BY is_rc, hd",
     "bin_histogram": f"WITH {_LEAST} SELECT query_id, is_rc, pos >> 6 AS bin, {_HIST} FROM hits GROUP BY ALL",
     "strand_totals": f"WITH {_LEAST} SELECT query_id, is_rc, {_HIST} FROM hits GROUP BY ALL",
-    "genome_totals": f"WITH {_LEAST} SELECT is_rc, {_HIST} FROM hits GROUP BY ALL",
+    "sketch_totals": f"WITH {_LEAST} SELECT is_rc, {_HIST} FROM hits GROUP BY ALL",
     "dense_bins": f"WITH {_WALK} SELECT g, count(*) AS n, CAST(sum(greatest(s, 0)) AS BIGINT) AS s FROM w GROUP BY g",
     "scans": f"WITH {_WALK}, c AS (SELECT g, bin, sum(s) OVER (PARTITION BY g ORDER BY bin) AS c FROM w), x AS (SELECT g, c, max(c) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h, min(c) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM c) SELECT g, CAST(sum(c) AS BIGINT) AS c, CAST(sum(h) AS BIGINT) AS h, CAST(sum(l) AS BIGINT) AS l FROM x GROUP BY g",
     "intervals_mx": f"WITH {_IV} SELECT g, a, b FROM iv",
-    "overlap_antijoin": f"WITH {_IV} SELECT p.g, count(*) AS n FROM iv p JOIN iv q ON p.g = q.g WHERE NOT (p.a < q.b AND q.a < p.b) GROUP BY p.g",
     "bh_q": f"WITH {_TEST}, r AS (SELECT *, count(*) OVER (PARTITION BY g) AS m, row_number() OVER (PARTITION BY g ORDER BY p) AS r FROM t) SELECT o_orderkey, round(min(least(1.0, p * m / r)) OVER (PARTITION BY g ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS q FROM r",
-    "quantiles": f"WITH {_TEST} SELECT g, round(quantile_cont(p, 0.2), 9) AS q0, round(quantile_cont(p, 0.4), 9) AS q1, round(quantile_cont(p, 0.6), 9) AS q2 FROM t GROUP BY g",
-    "gamma_moments": f"WITH {_TEST} SELECT g, round(avg(p) * avg(p) / greatest(var_pop(p), 1e-6), 6) AS shape, round(greatest(var_pop(p), 1e-6) / avg(p), 6) AS scale FROM t GROUP BY g",
     "strand_label": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 2 THEN '.' WHEN c_custkey % 5 = 1 THEN CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '.' END WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 1 THEN '+' ELSE '.' END WHEN (c_custkey % 2 = 1) = (c_custkey * 37 % 1000 > 500) THEN '+' ELSE '-' END AS strand FROM customer",
-    "p_bins": f"WITH {_TEST} SELECT o_orderkey, CAST((p ** 3 <= 0.1)::INT + (p ** 3 <= 0.05)::INT + (p ** 3 <= 0.01)::INT + (p ** 3 <= 1e-3)::INT + (p ** 3 <= 1e-4)::INT + (p ** 3 <= 1e-5)::INT AS INT) AS b FROM t",
+    "p_bins": f"WITH {_TEST} SELECT o_orderkey, CAST((p ** 3 < 0.1)::INT + (p ** 3 < 0.05)::INT + (p ** 3 < 0.01)::INT + (p ** 3 < 1e-3)::INT + (p ** 3 < 1e-4)::INT + (p ** 3 < 1e-5)::INT AS INT) AS b FROM t",
     "distance_bins": f"WITH {_TEST} SELECT o_orderkey, CAST(CASE WHEN p <= 0.25 THEN 0 WHEN p <= 0.5 THEN 1 ELSE 2 END AS INT) AS b FROM t",
     "gff_parse": f"WITH {_FEAT} SELECT * FROM f",
     "annotation_overlap": f"WITH {_FEAT}, q AS (SELECT p_partkey, 'c' || p_partkey % 7 AS c, p_partkey * 17 % 900 AS a FROM part) SELECT p_partkey, count(*) AS n, min(locus_tag) AS first FROM q JOIN f ON c = contig_id AND stop >= a AND start <= a + 5 GROUP BY p_partkey",
-    "retained_refs": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "coordinates": f"WITH {_WALK} SELECT g, bin, bin * 8 + 1 AS start, least(bin * 8 + 9, 4000) AS stop FROM w",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (nt_composition, kmer_extract, kmer_encode, revcomp, bp_to_planes, lsh_bucket, drop_positions, hamming_pairs, mixer, minimizers, sketch_distinct, bucket_offsets, hll_registers, hll_estimate, lsh_min_hamming, bin_histogram, strand_totals, genome_totals, mle_distance, full_map, full_map_eight, full_map_enum, dense_bins, scans, intervals_mx, overlap_antijoin, bh_q, quantiles, gamma_moments, strand_label, p_bins, distance_bins, gff_parse, annotation_overlap, retained_refs, coordinates)
+    for f in (nt_composition, kmer_extract, kmer_encode, revcomp, bp_to_planes, lsh_bucket, drop_positions, hamming_pairs, mixer, minimizers, sketch_distinct, bucket_offsets, hll_registers, hll_estimate, lsh_join, lsh_min_hamming, bin_histogram, strand_totals, sketch_totals, mle_distance, full_map, full_map_eight, full_map_enum, dense_bins, scans, intervals_mx, bh_q, strand_label, p_bins, distance_bins, gff_parse, annotation_overlap)
 } | {"partition_filter": partial(sketch_distinct, p=HALF)}
 #: The queries over benchmark and conversations, over whole documents.
 QUERIES |= {f"{n}_documents": partial(QUERIES[n], of=texts) for n in ("kmer_extract", "kmer_encode", "revcomp", "bp_to_planes", "lsh_bucket", "drop_positions", "hamming_pairs", "mixer", "minimizers", "sketch_distinct", "partition_filter", "bucket_offsets", "hll_registers")}
-QUERIES |= {f"{n}_documents": partial(QUERIES[n], of=even, to=rest) for n in ("lsh_min_hamming", "bin_histogram", "strand_totals", "genome_totals")}
+QUERIES |= {f"{n}_documents": partial(QUERIES[n], of=even, to=rest) for n in ("lsh_min_hamming", "bin_histogram", "strand_totals", "sketch_totals")}

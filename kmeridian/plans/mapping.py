@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kmeridian.functions import encode as E
+from kmeridian.functions.text import significant
 from kmeridian.functions.model import Gamma, Model, fit_gammas, score_samples, valid_distance
 from kmeridian.operators import intervals as X
 from kmeridian.operators.kmers import kmers
@@ -541,12 +542,7 @@ def significance(d: float, nulls: np.ndarray, two_sided: bool, law: Gamma | None
 
 def five_digits(x: Column) -> Column:
     """Five significant digits, trailing zeros dropped; nan, inf and -inf by name."""
-    e = F.floor(F.log10(F.abs(x))).cast("int")
-    small = F.regexp_replace(F.regexp_replace(F.format_string("%.4e", x), r"\.?0+e", "e"), r"e([+-])0*([0-9]{2,})$", "e$1$2")
-    plain = F.round(x / F.pow(F.lit(10.0), e - 4))
-    shown = F.rtrim(F.format_string("%.10f", F.round(plain * F.pow(F.lit(10.0), e - 4), 12)), F.lit("0"))
-    shown = F.regexp_replace(shown, r"\.$", "")
-    return F.when(F.isnan(x), "nan").when(x == math.inf, "inf").when(x == -math.inf, "-inf").when(x == 0, "0").when((e < -4) | (e >= 5), small).otherwise(shown)
+    return significant(x, 5)
 
 
 def write_tsv(result: DataFrame, path: str, sketch_order: list[str] | None = None) -> None:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from kmeridian.session import ship
 
 
+_HIDDEN = re.compile(r"[^!-~]+")
+
+
 def parse_sequences(data: bytes) -> Iterator[tuple[str, str, str]]:
     """(name, comment, sequence) of FASTA and FASTQ records, gzipped or plain. A FASTQ record whose quality is shorter
     than its sequence ends the file with an error."""
@@ -25,7 +28,7 @@ def parse_sequences(data: bytes) -> Iterator[tuple[str, str, str]]:
         name, _, comment = lines[at][1:].strip("\r").replace("\t", " ").partition(" ")
         at, seq = at + 1, []
         while at < len(lines) and lines[at][:1] not in (">", "@", "+"):
-            seq.append("".join(c for c in lines[at] if "!" <= c <= "~"))
+            seq.append(_HIDDEN.sub("", lines[at]))
             at += 1
         sequence = "".join(seq)
         if at < len(lines) and lines[at][:1] == "+":
@@ -39,7 +42,8 @@ def parse_sequences(data: bytes) -> Iterator[tuple[str, str, str]]:
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq_ix, query_id, comment, seq, len of the FASTA or FASTQ files at path, one task per file."""
+    """file, seq_ix, query_id, comment, seq, len of the FASTA or FASTQ files at path, one task per file. For FASTA of any size
+    see fasta, which splits files."""
     ship(spark)
 
     def run(batches):
@@ -53,6 +57,16 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, seq_ix int, query_id string, comment string, seq string, len long")
 
 
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, query_id, comment, seq, len of FASTA files, plain or gzipped by their names. Plain files are split at
+    record marks, so that a file is read by many tasks and no row holds more than one record; block is where in the file a
+    record's split begins, and rows of a block stand in order."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"^\s*>", "").alias("r"))
+    head, rest = F.regexp_extract("r", r"^([^\n]*)", 1), F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1)
+    out = rows.where(F.trim("r") != "").select("file", "block", F.regexp_extract(head, r"^(\S*)", 1).alias("query_id"), F.trim(F.regexp_extract(head, r"^\S*\s(.*?)\r?$", 1)).alias("comment"), F.regexp_replace(rest, "[^!-~]", "").alias("seq"))
+    return out.withColumn("len", F.length("seq").cast("long"))
+
+
 _URL = re.compile(r"^(?:https?|ftp)://([^/:\s]+)(?::\d{2,5})?(?:/\S*)?$", re.I)
 
 
@@ -67,6 +81,13 @@ def is_url(source: str) -> bool:
         return "." in m[1]
 
 
+def url_column(source):
+    """Whether a text column holds an address as is_url has it, by the shapes of private hosts."""
+    host = F.lower(F.regexp_extract(source, r"(?i)^(?:https?|ftp)://([^/:\s]+)(?::\d{2,5})?(?:/\S*)?$", 1))
+    private = host.rlike(r"^(?:127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|^localhost$")
+    return (host != "") & ~private & host.contains(".")
+
+
 def fetch(source: str, folder: str) -> str:
     """Downloads an address into a shared folder and returns its path; other sources are returned as they are."""
     if not is_url(source):
@@ -91,8 +112,14 @@ ATTRIBUTES = "map<string,string>"
 
 def attributes(text):
     """The attributes of a GFF3 (k=v) or GTF (k "v") line as a map; of repeated keys the last stays."""
-    pair = lambda x: F.struct(F.regexp_extract(x, r"^\s*([^=\s]+)", 1).alias("k"), F.regexp_replace(F.regexp_extract(x, r"^\s*[^=\s]+(?:=|\s+)(.*?)\s*$", 1), '^"|"$', "").alias("v"))
-    parts = F.filter(F.split(text, ";"), lambda x: F.trim(x).rlike(r"^[^=\s]+(?:=|\s+)\S"))
+
+    def pair(x):
+        at = F.instr(x, "=")
+        value = F.trim(F.substr(x, at + 1, F.length(x)))
+        quoted = F.regexp_replace(F.trim(F.regexp_extract(x, r"^\S+ (.*)$", 1)), '^"+|"+$', "")
+        return F.when(at > 0, F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), value.alias("v"))).otherwise(F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("k"), quoted.alias("v")))
+
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x.rlike("[= ]"))
     return F.aggregate(F.transform(parts, pair), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
@@ -100,18 +127,20 @@ ANNOTATION = ("contig_id", "locus_tag", "ftype", "start", "stop", "strand", "ann
 
 
 def gff_rows(lines: DataFrame, line: str = "value", more_names: bool = False) -> DataFrame:
-    """Annotations of GFF3 or GTF lines: comments, blank lines, short lines and lines without integer positions are left
-    out. more_names: also take names from gene and note."""
-    t = lines.where(~F.col(line).rlike(r"^\s*(#|$)")).select(F.split(F.regexp_replace(line, r"\r$", ""), "\t").alias("f")).where(F.size("f") >= 8)
-    at = lambda i: F.nullif(F.trim(F.get("f", F.lit(i))), F.lit("."))
-    t = t.withColumns({"a": attributes(F.coalesce(at(8), F.lit(""))), "s": F.expr("try_cast(f[3] as bigint)"), "e": F.expr("try_cast(f[4] as bigint)")}).where("s is not null and e is not null")
+    """Annotations of GFF3 or GTF lines: comments, blank lines, lines of less than eight fields and lines without integer
+    positions are left out. more_names: gene names lead, and notes describe products."""
+    whole = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    t = lines.select(whole.alias("l")).where(~F.col("l").rlike(r"^(#|$)")).select(F.split("l", "\t").alias("f")).where(F.size("f") >= 8)
+    at = lambda i: F.get("f", F.lit(i))
+    known = lambda i: F.nullif(at(i), F.lit("."))
+    t = t.withColumns({"a": attributes(F.coalesce(at(8), F.lit(""))), "s": F.trim(at(3)).try_cast("long"), "e": F.trim(at(4)).try_cast("long")}).where("s is not null and e is not null")
     key = lambda *names: F.coalesce(*(F.nullif(F.col("a")[n], F.lit("")) for n in names))
-    synth = F.concat_ws("_", at(0), F.coalesce(at(2), F.lit("misc")), F.least("s", "e").cast("string"))
+    synth = F.concat_ws("_", at(0), F.col("s").cast("string"), F.col("e").cast("string"))
     return t.select(
-        at(0).alias("contig_id"), F.coalesce(key("ID", "locus_tag", "Name", "ann_id"), synth).alias("locus_tag"), F.coalesce(at(2), F.lit("misc")).alias("ftype"),
-        F.least("s", "e").alias("start"), F.greatest("s", "e").alias("stop"), F.coalesce(at(6), F.lit("+")).alias("strand"),
-        key("Name", "gene", *(("note", "Note") if more_names else ())).alias("ann_name"), key("product").alias("product"), key("ec_number", "eC_number", "EC_number").alias("ec_number"),
-        at(1).alias("source"), at(5).alias("score"), at(7).alias("frame"),
+        at(0).alias("contig_id"), F.coalesce(key("ID", "locus_tag", "Name", "gene" if more_names else "ann_id"), synth).alias("locus_tag"), F.coalesce(known(2), F.lit("misc")).alias("ftype"),
+        F.least("s", "e").alias("start"), F.greatest("s", "e").alias("stop"), F.when(at(6).isin("+", "-"), at(6)).otherwise("+").alias("strand"),
+        key(*(("gene",) if more_names else ()), "ann", "ann_name", "Name").alias("ann_name"), key("product", "description", *(("note",) if more_names else ())).alias("product"), key("ec_number").alias("ec_number"),
+        at(1).alias("source"), known(5).alias("score"), known(7).alias("frame"),
     )
 
 
@@ -126,17 +155,23 @@ REQUIRED = ("contig_id", "locus_tag", "ftype", "start", "stop", "strand")
 
 
 def custom_rows(table: DataFrame) -> DataFrame:
-    """Annotations of a tab-separated table with the REQUIRED columns; names are the first non-null of the known
-    candidates. Reversed features are swapped whole."""
-    named = table.select(*(F.col(f"`{c}`").alias(c.strip()) for c in table.columns if c.strip() and not re.match(r"(Unnamed.*|_c0)$", c)))
-    missing = [c for c in REQUIRED if c not in named.columns]
+    """Annotations of a tab-separated table with the REQUIRED columns; "." and empty fields are null, a numeric first column
+    of another name is dropped, and names that the table lacks are the first of their candidates that is not blank. Reversed
+    features are swapped whole."""
+    clean = table.select(*(F.when(F.trim(F.col(f"`{c}`").cast("string")).isin(".", ""), None).otherwise(F.col(f"`{c}`")).alias(c) for c in table.columns))
+    first = clean.columns[0] if clean.columns else ""
+    if first not in REQUIRED and clean.agg(F.bool_and(F.col(f"`{first}`").isNull() | F.col(f"`{first}`").try_cast("double").isNotNull())).first()[0] is not False:
+        clean = clean.drop(F.col(f"`{first}`"))
+    missing = [c for c in REQUIRED if c not in clean.columns]
     if missing:
         raise ValueError(f"annotation columns missing: {missing}")
-    clean = named.select(*(F.when(F.trim(F.col(c).cast("string")).isin(".", ""), None).otherwise(F.col(c)).alias(c) for c in named.columns))
-    pick = lambda *names: F.coalesce(*([F.col(n).cast("string") for n in names if n in clean.columns] or [F.lit(None).cast("string")]))
+    pick = lambda *names: F.coalesce(*([F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in clean.columns] or [F.lit(None).cast("string")]))
     a, b = F.col("start").cast("long"), F.col("stop").cast("long")
-    known = {"start": F.least(a, b), "stop": F.greatest(a, b), "strand": F.coalesce("strand", F.lit("+")), "ann_name": pick("ann_name", "prokka_gene", "swissprot_gene"), "product": pick("product", "prokka_product", "swissprot_product"), "ec_number": pick("ec_number", "prokka_EC_number", "swissprot_EC_number")}
-    return clean.withColumns(known)
+    new = {"start": F.least(a, b), "stop": F.greatest(a, b), "strand": F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise("+")}
+    for name, candidates in (("ann_name", ("prokka_gene", "swissprot_gene", "gene")), ("ec_number", ("prokka_EC_number", "swissprot_EC_number")), ("product", ("prokka_product", "swissprot_product"))):
+        if name not in clean.columns:
+            new[name] = pick(*candidates)
+    return clean.withColumns(new)
 
 
 def annotations(spark: SparkSession, path: str, more_names: bool = False) -> DataFrame | None:

@@ -128,7 +128,7 @@ def test_mapping_queries_take_even_documents_against_the_rest(spark, texts):
 
     assert rows_of(spark, "bin_histogram_documents", folder) == histogram(lambda d, pos, r, _: (d, r, pos >> 6))
     assert rows_of(spark, "strand_totals_documents", folder) == histogram(lambda d, _, r, __: (d, r))
-    assert rows_of(spark, "genome_totals_documents", folder) == histogram(lambda _, __, r, ___: (r,))
+    assert rows_of(spark, "sketch_totals_documents", folder) == histogram(lambda _, __, r, ___: (r,))
 
 
 def test_mapping_to_rows_takes_even_documents_against_the_rest(spark, texts):

@@ -147,7 +147,7 @@ def test_readers(spark, tmp_path):
     r = R.gff_rows(lines).collect()
     assert len(r) == 1 and (r[0]["start"], r[0]["stop"], r[0]["ftype"], r[0]["locus_tag"], r[0]["strand"], r[0]["ann_name"]) == (5, 9, "misc", "z", "+", "n")
     tree = R.tree(spark, "((a:1,b:2):0.5,c:3);")
-    d = {r["name"]: r["distance"] for r in V.tree_path_distances(tree, "a").collect()}
+    d = {r["name"]: r["distance"] for r in V.tree_path_distances(tree, "a").where("is_leaf").collect()}
     assert d == {"a": 0.0, "b": 3.0, "c": 4.5}
 
 
