@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmeridian.catalog import _BUCKET, _MIN, _RC, _REF, _SK, _WALK, _Z, PARAMS, PPOS, _positions, _walk, refs
+from kmeridian.catalog import _BUCKET, _HAM, _MIN, _RC, _REF, _SK, _WALK, _Z, PARAMS, PPOS, _positions, _ref_sketch, _walk, refs, talk
+from kmeridian.catalog import SQL as FIRST
 from kmeridian.functions import encode as E
 from kmeridian.functions import model as D
+from kmeridian.functions.sql import register
 from kmeridian.operators import intervals as X
 from kmeridian.operators import kmers as K
 from kmeridian.operators import view as V
@@ -25,6 +27,7 @@ from kmeridian.plans import sketching as S
 from kmeridian.session import saved_folder, ship, table
 from kmeridian.sources import readers as R
 from kmeridian.sources import sketch_file
+from kmeridian.streaming.mapper import map_stream
 
 MODEL = D.Model(27, 11, 0.5, 4)
 TH = (0.1, 0.05, 0.2, 0.03, 0.4, 0.35, 0.5, 0.45)
@@ -703,9 +706,30 @@ def zoom_span(spark, d):
     return spark.createDataFrame([(i, *(V.min_span(c, 4, (0, 100)) or (None, None))) for i, c in enumerate(cases)], "i int, lo int, hi int")
 
 
+# Other surfaces
+
+
+def sql_functions(spark, d):
+    """The engine's functions in SQL."""
+    register(spark)
+    refs(spark, d).createOrReplaceTempView("kmeridian_refs")
+    p = ", ".join(map(str, PPOS))
+    return spark.sql(f"SELECT query_id, count(*) AS n, bit_xor(bp) AS x, bit_xor(revcomp(bp, 27)) AS rc, bit_xor(lsh_bucket(bp, array({p}))) AS b, CAST(sum(hamming(bp, 0)) AS BIGINT) AS h FROM kmeridian_refs, LATERAL kmers(seq, 27) GROUP BY query_id")
+
+
+def stream_histograms(spark, d):
+    """Histograms of queries that arrive as a stream, against a static sketch."""
+    source, out = _place(spark, "arrivals"), _place(spark, "mapped")
+    talk(spark, d).repartition(3).write.parquet(source)
+    arrivals = spark.readStream.schema("query_id long, seq string").option("maxFilesPerTrigger", 1).parquet(source)
+    map_stream(arrivals, _ref_sketch(spark, d), out, _place(spark, "progress"), 4, 6).awaitTermination()
+    return spark.read.parquet(out).drop("rid", "epoch")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        sql_functions, stream_histograms,
         fasta_scan, fasta_gzip, fastq_scan, empty_scan, url_predicate, result_text, result_round_trip, gff_sniff, gff_normalise, gff_more_names, custom_annotations, annotation_router, newick_nodes, tree_path_distance, tree_sizes, tree_pruned,
         sketch_info, sketch_merge, sketch_load, rho_exact, rho_estimated, canonical_sketch, canonical_kmers, sketch_rows, row_compaction, short_references, query_diagnostics, binary_sketch, nt4_codes, hamming_planes, extract_bits, random_positions,
         model_scores, model_likelihood, model_probabilities, model_binomials, mle_is_least, valid_distances, threshold_signs, strand_differences, gamma_law, gamma_start, gamma_fit, null_scores,
@@ -758,6 +782,8 @@ est AS (SELECT what, query_id, sum(pow(2.0, -reg)) AS s, count(*) AS filled FROM
 e AS (SELECT what, CASE WHEN raw <= 2.5 * 4096 AND filled < 4096 THEN 4096 * ln(4096::DOUBLE / (4096 - filled)) ELSE raw END AS n FROM (SELECT *, (0.7213 / (1 + 1.079 / 4096::DOUBLE)) * 4096 * 4096 / (s + 4096 - filled) AS raw FROM est) t)"""
 
 SQL: dict[str, str] = {
+    "sql_functions": f"WITH {_REF} SELECT query_id, count(*) AS n, bit_xor(bp) AS x, bit_xor({_RC.format(x='bp')}) AS rc, bit_xor({_BUCKET}) AS b, CAST(sum({_HAM.format(d='bp')}) AS BIGINT) AS h FROM k GROUP BY query_id",
+    "stream_histograms": FIRST["bin_histogram"],
     "fasta_scan": _SCANNED, "fasta_gzip": _SCANNED, "fastq_scan": _SCANNED,
     "empty_scan": 'SELECT TRUE AS "none", FALSE AS "some"',
     "url_predicate": "SELECT p_partkey, p_partkey % 3 <> 2 AND p_partkey % 5 IN (2, 4) AS ok FROM part",

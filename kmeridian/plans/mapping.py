@@ -527,7 +527,7 @@ def _tested(records: DataFrame, p: MapParams) -> DataFrame:
         return pd.DataFrame(out, columns=["p", "fold", "note"])
 
     scored = records.drop("pool").withColumn("_s", score(F.struct("rid", F.col("query_id").cast("string").alias("q"), "is_rc", "first", "after", "th", "d", "d_diff", "closer")))
-    return scored.select(*(c for c in records.columns if c != "pool"), "_s.p", "_s.fold", "_s.note")
+    return scored.select(*(c for c in records.columns if c != "pool"), F.coalesce("_s.p", F.lit(math.nan)).alias("p"), F.coalesce("_s.fold", F.lit(math.nan)).alias("fold"), "_s.note")  # NaN comes back from pandas as null
 
 
 def significance(d: float, nulls: np.ndarray, two_sided: bool, law: Gamma | None = None) -> tuple[float, float, str | None]:
@@ -545,11 +545,16 @@ def five_digits(x: Column) -> Column:
     return significant(x, 5)
 
 
-def write_tsv(result: DataFrame, path: str, sketch_order: list[str] | None = None) -> None:
-    """Tab-separated text with a header, in order of sketch, query, strand and emission; doubles with five digits."""
+def as_text(result: DataFrame, sketch_order: list[str] | None = None) -> DataFrame:
+    """The 16 columns, doubles with five digits, in order of sketch, query, strand and emission."""
     order = F.array_position(F.array(*map(F.lit, sketch_order)), F.col("REF_ID")) if sketch_order else F.col("REF_ID")
     text = [five_digits(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in result.dtypes if n in COLUMNS]
-    result.orderBy(order, "QUERY_ID", "IS_RC", "emit").select(*text).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    return result.orderBy(order, "QUERY_ID", "IS_RC", "emit").select(*text)
+
+
+def write_tsv(result: DataFrame, path: str, sketch_order: list[str] | None = None) -> None:
+    """as_text as tab-separated text with a header."""
+    as_text(result, sketch_order).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
 
 
 def params(p: MapParams) -> dict:

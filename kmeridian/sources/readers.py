@@ -67,6 +67,12 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("len", F.length("seq").cast("long"))
 
 
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, seq and more of the files at path: FASTA in splits, FASTQ file by file, by how the first line begins."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return sequences(spark, path) if first and first[0]["value"].lstrip().startswith("@") else fasta(spark, path)
+
+
 _URL = re.compile(r"^(?:https?|ftp)://([^/:\s]+)(?::\d{2,5})?(?:/\S*)?$", re.I)
 
 
