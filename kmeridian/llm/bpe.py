@@ -9,6 +9,7 @@ from collections.abc import Callable
 from itertools import repeat
 from operator import add
 
+import pyarrow as pa
 import regex
 
 #: Unicode White_Space, spelled out because the regex module's \s also takes U+001C to U+001F.
@@ -89,15 +90,21 @@ class Memo(dict):
 _in_use: dict = {"by": "", "drop": dict}
 
 
+def trim() -> None:
+    """Gives memory that nothing uses back to the system; Arrow takes its own from there, so that it can be given back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    gc.collect()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def sole(user: str, drop: Callable = dict) -> None:
     """Frees what another operator memoised in this Python worker, which Spark uses again for later stages; drop frees
     what user will hold. Called at the beginning of a batch; memos of one operator stay from batch to batch."""
     if _in_use["by"] != user:
         _in_use["drop"]()
         _in_use.update(by=user, drop=drop)
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
 
 class Chunks:

@@ -22,6 +22,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,10 +119,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: s
     """docs with the token ids of their texts in a column of arrays."""
     ranks, pattern = _shared(docs, path), public_tokenizers.PATTERN
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks.value, pattern, memo)
-        return pd.Series([np.frombuffer(codec.encode(t) if t else b"", "<i4") for t in texts], dtype=object)
+        found, ends = bytearray(), array("i", [0])
+        for t in texts:  # one text at a time as a Python string
+            found += codec.encode(t.as_py() or "")
+            ends.append(len(found) // 4)
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(found, "<i4")))
 
     return docs.withColumn(into, ids(F.col(text)))
 

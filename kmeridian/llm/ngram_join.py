@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmeridian.llm.bpe import Memo, sole
+from kmeridian.llm.bpe import Memo, sole, trim
 from kmeridian.llm.components import components, named_roots
 from kmeridian.llm.streams import groups
 from kmeridian.session import saved, ship, shuffle_width
@@ -49,7 +49,7 @@ WORDS, PERCENT = 5, 80
 TILE = 1000  # classes that are joined in one tree, and its bytes of sets, but for a single larger set
 TILE_BYTES = 24_000_000
 STAR = 500  # classes compared with a hub in one task
-_DOCS, _TOKENS = 60_000, 2_000_000  # what is sorted together at most (one set can be larger); documents have 16-bit numbers
+_DOCS, _TOKENS = 60_000, 1_500_000  # what is sorted together at most (one set can be larger); documents have 16-bit numbers
 _PART = 400_000  # tokens of a bucket that are looked at together, about
 _hashed = Memo(xxhash.xxh3_64_intdigest, most=100_000)
 
@@ -141,6 +141,8 @@ def _send(buckets: int, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), ids, pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *nulls], schema=shape)
         if held:
             yield dealt(held)
+        held.clear()
+        trim()
 
     return send
 
@@ -202,6 +204,7 @@ def _least_common(n: int, percent: int) -> int:
 def _gather(percent: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0  # tokens of rows
         for (sig,), t in groups(batches, ["sig"]):
             if t.num_rows == 1:
                 continue  # nothing is shared
@@ -212,9 +215,10 @@ def _gather(percent: int):
                 token, df = (t.column(c).to_numpy() for c in ("token", "df"))
                 order = np.lexsort((token, df))
                 rows.append((sig, n, token[order[:take]].tolist(), token[order].tobytes(), df[order].astype("<i4").tobytes()))
-            if len(rows) >= 500:
+                held += len(token)
+            if len(rows) >= 500 or held > 200_000:
                 yield _alive(rows)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield _alive(rows)
 
