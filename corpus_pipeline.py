@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the token ids of each mixed document."""
-    return bpe_codec.encode(docs.select("doc_id", "source", "text"), memo=120_000).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe_codec.encode(docs.select("doc_id", "source", "text"), memo=80_000).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality_rules", quality_stage), ("near_duplicates", near_duplicate_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe_encoding", encoding_stage)]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: Bytes of rows handed to a Python worker at once: Spark's own default is held on both sides of the pipe by every task.
-BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
 #: By application: the scratch folder for a single machine, and the folder of its saved tables.
 _local: dict[str, str] = {}
 _saved: dict[str, str] = {}
