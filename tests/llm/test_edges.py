@@ -55,7 +55,7 @@ def test_ngram_threshold_and_long_texts(spark):
     far = LONG.replace("w5 ", "q5 ")
     rows = [(10, at[0]), (11, at[1]), (20, below[0]), (21, below[1]), (30, LONG), (31, LONG + " tail"), (32, far), (40, nine.upper()), (40, nine)]
     got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.components_of(docs(spark, rows)).collect())
-    sets = {d: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows if (w := t.lower().split())}
     link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert link(10, 11) and not link(20, 21) and link(30, 31)
     comp = {d: c for d, c in got}
@@ -75,7 +75,7 @@ def test_vectors_at_the_threshold(spark):
     cosine = lambda a, b: float((unit(a / np.abs(a).max()) * unit(b / np.abs(b).max())).sum())
     df = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in vectors], "vec_id long, embedding array<double>, label string").withColumns({"key": F.lit("k"), "raw": F.lit(1)})
     got = {r["vec_id"]: r for r in embedding_join.linked(df).collect()}
-    want = {i: sum(j is not vectors[k] and m == label and cosine(v, w) >= 0.93 for k, j in enumerate(vectors) for _, w, m in [j] if j[1] is not v) for i, v, label in vectors}
+    want = {v[0]: sum(a != b and vectors[b][2] == v[2] and cosine(v[1], vectors[b][1]) >= 0.93 for b in range(len(vectors))) for a, v in enumerate(vectors)}
     assert {i: r["n_links"] for i, r in got.items()} == want
     assert got[4]["component_id"] == 4 and got[5]["component_id"] == 1 and got[3]["kept"] == (got[3]["component_id"] == 3)
     assert embedding_join.linked(df.limit(0)).count() == 0
